@@ -5,7 +5,7 @@ SHA-256 and a split number of the row extend that key, so that the sample stays
 prefix does not fill one range and a large group of copies spreads over ranges). Each range is
 sorted externally by its key and the whole normalised text, and a window walks over neighbours
 that are equal in full. What one group left in several splits is then merged by
-(leading bytes, SHA-256, byte length): one row per group and split, summed map-side.
+(leading bytes, SHA-256, byte length): one row per group and split.
 
 Defined results: null text is empty and equals other empty texts; null doc_id sorts after all
 others; of repeated rows exactly one is kept; other columns are ignored.
@@ -41,11 +41,10 @@ def content_sort_groups(docs: DataFrame, splits: int = SPLITS) -> DataFrame:
     d = d.repartitionByRange("lead", "sha", "split")
     equal = Window.partitionBy("lead", "sha", "split", "norm")
     best = equal.orderBy(F.col("n_cp").desc(), F.col("doc_id").asc_nulls_last())
-    d = d.withColumn("place", F.row_number().over(best))
-    rows = d.select("doc_id", "n_cp", "lead", "sha", "n_bytes", "split", "place")
-    per_split = rows.groupBy("lead", "sha", "n_bytes", "split").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.struct("n_cp", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("back"))).alias("top")
-    )
+    d = d.withColumn("place", F.row_number().over(best)).withColumn("n", F.count(F.lit(1)).over(equal))
+    rows = d.select("doc_id", "n_cp", "lead", "sha", "n_bytes", "split", "place", "n")
+    top = F.struct("n_cp", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("back"))
+    per_split = rows.where("place = 1").select("lead", "sha", "n_bytes", "split", "n", top.alias("top"))
     groups = per_split.groupBy("lead", "sha", "n_bytes").agg(
         F.sum("n").alias("group_size"), F.max(F.struct("top", "split")).alias("top")
     )
