@@ -13,7 +13,7 @@ and stop once they are later than all components' earliest.
 text is compared with the others, then a text drawn by the bucket, and last, in buckets that
 still hold texts of several components, each text outside the bucket's most common component
 with the texts of other components. Pairs inside one component need no comparison.
-Estimates from whole signatures (tolerance ``SLACK``, over six standard deviations) only spare
+Estimates from whole signatures (tolerance ``SLACK``, over six standard deviations; two bits a component) only spare
 hopeless verifications; a link needs an exact multiset overlap of 0.8 or more.
 
 Defined results: texts with the same words in the same order are one class and are compared
@@ -37,6 +37,8 @@ from casewarden.storage import written
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 45, 7
 SLACK = 0.62
+#: So many ids (8 bytes each) are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,7 +83,7 @@ def _row_units(column: pa.Array, width: int) -> Iterator[tuple]:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_words, class1, class2, n_units, bands, sig (a byte a component)."""
+    """docs (doc_id, text) -> doc_id, n_words, class1, class2, n_units, bands, sig (two bits a component)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bands * rows
@@ -106,7 +108,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                     [
                         ids.slice(first, n), pa.array(n_words, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(n_units),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(key.reshape(-1).view(np.int64))),
-                        pa.array([r.tobytes() for r in (code & np.uint64(255)).astype(np.uint8)], pa.binary()),
+                        pa.array([r.tobytes() for r in _two_bits(code)], pa.binary()),
                     ],
                     names=["doc_id", "n_words", "class1", "class2", "n_units", "bands", "sig"],
                 )
@@ -115,15 +117,24 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _estimated(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sig_a, sig_b) whose signatures agree in SLACK or more of the components."""
+def _two_bits(code: np.ndarray) -> np.ndarray:
+    """Two bits of each component, four to a byte."""
+    code = np.pad((code & np.uint64(3)).astype(np.uint8), ((0, 0), (0, -code.shape[1] % 4)))
+    return code[:, 0::4] | code[:, 1::4] << 2 | code[:, 2::4] << 4 | code[:, 3::4] << 6
+
+
+def _estimated(pairs: DataFrame, components_: int = BANDS * ROWS) -> DataFrame:
+    """Pairs (a, b, sig_a, sig_b) whose signatures estimate a similarity of SLACK or more: two-bit
+    components that do not agree differ three times in four."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (part.column("sig_a"), part.column("sig_b")))
-                keep = (x == y).mean(axis=1) >= SLACK
+                differ = x ^ y
+                differ = np.bitwise_count((differ | differ >> 1) & np.uint8(0x55)).sum(axis=1)
+                keep = differ <= (1 - SLACK) * 0.75 * components_
                 yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(keep)) for k in ("a", "b")], names=["a", "b"])
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
@@ -146,6 +157,46 @@ def _unit_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, units binary")
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose id is in the written table ids; it is broadcast if its size allows."""
+    few = ids.count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _sharing_rare_units(texts: DataFrame, open_docs: DataFrame, sizes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Pairs (a, b) of open_docs (doc_id, label) with different labels that can reach the similarity.
+
+    With units in one order, rarest first, texts of n units that reach it share one of their
+    first n - ceil(similarity * n) + 1 (prefix filter), so no pair is lost; a copy whose own
+    edits fill that prefix meets nobody.
+    """
+    ids = open_docs.select("doc_id").distinct()
+    units = written(_unit_rows(_only(texts, ids), shingle).distinct(), "unit_rows")
+    common = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    n_units = sizes.join(open_docs, "doc_id").select("doc_id", "label", "n_units").distinct()
+    first = F.col("n_units") - F.ceil(F.col("n_units") * similarity - 1e-9) + 1
+    rows = units.join(common, "unit").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "unit")))
+    rows = rows.join(n_units, "doc_id").where((F.col("place") <= first) & (F.col("n") > 1)).select("doc_id", "label", "n_units", "unit")
+    x = rows.select("unit", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_units").alias("ka"))
+    y = rows.select("unit", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_units").alias("kb"))
+    sized = F.least("ka", "kb") >= similarity * F.greatest("ka", "kb") - 1e-9
+    return x.join(y, "unit").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sized).select("a", "b").distinct()
+
+
+def _unit_rows(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, unit: one row per (shingle, occurrence)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, _, _, (doc, s, count) in _row_units(batch.column(1), shingle):
+                own = np.repeat(doc, count)
+                nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+                unit = mix(np.repeat(s, count) + nth.astype(np.uint64) * _GOLD).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).take(pa.array(own)), pa.array(unit)], names=["doc_id", "unit"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, unit long")
+
+
 def _overlapping(pairs: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +239,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         y = known_sig.select(F.col("doc_id").alias("b"), F.col("n_units").alias("n_b"), F.col("sig").alias("sig_b"))
         sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
         likely = written(_estimated(pairs.join(x, "a").join(y, "b").where(sized)).distinct(), "likely")
-        involved = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        units = written(_unit_sets(texts.join(involved, "doc_id", "left_semi"), shingle), "units")
+        involved = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
+        units = written(_unit_sets(_only(texts, involved), shingle), "units")
         ua = units.select(F.col("doc_id").alias("a"), F.col("units").alias("units_a"))
         ub = units.select(F.col("doc_id").alias("b"), F.col("units").alias("units_b"))
         return written(_overlapping(likely.join(ua, "a").join(ub, "b"), similarity).distinct(), "links")
@@ -209,14 +260,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
     tagged = written(labelled(shared.select("bucket", "doc_id"), links), "tagged")
     mixed = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    mixed = tagged.join(mixed, "bucket")
-    sizes = mixed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"))
-    mixed = mixed.join(major, "bucket").withColumn("minor", F.col("label") != F.col("major"))
-    left = mixed.where("minor").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("lx"))
-    right = mixed.select("bucket", F.col("doc_id").alias("y"), F.col("label").alias("ly"), F.col("minor").alias("my"))
-    rest = left.join(right, "bucket").where("lx != ly AND (NOT my OR x < y)")
-    links = links.union(check(ordered(rest, "x", "y")))
+    open_docs = written(tagged.join(mixed, "bucket").select("doc_id", "label").distinct(), "open")
+    links = links.union(check(_sharing_rare_units(texts, open_docs, known_sig, similarity, shingle)))
 
     roots = components(links).select(F.col("node").alias("class_id"), F.col("root").alias("group_id"))
     group = member.join(roots, "class_id", "left").select("doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"))

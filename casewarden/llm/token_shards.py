@@ -14,6 +14,7 @@ stay, ordered by id, then text; an empty table has no shards. Other columns are
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,11 +31,12 @@ from casewarden.llm.wavelet import NULL_ID, WaveletMatrix
 from casewarden.storage import written
 
 END_ID = 2
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 #: Distinct pieces a worker remembers before it starts afresh.
-MEMORY_PIECES = 400_000
+MEMORY_PIECES = 300_000
 #: Where a space may not split: next to other white space, or at an end.
 _UNSAFE = re.compile(r"(?:\s |\A | (?=\s)| \Z)")
+_INNER_SPACE = re.compile(r"\A\Z|\A\s\s|\A[^\S ]|\S\s|\A \Z")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -47,13 +49,45 @@ class PieceEncoder:
     """Encodes batches of texts; equal to encoding each whole text."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self._forget()
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that are not known yet; their ids join the pool."""
+        if len(self.known) > MEMORY_PIECES:
+            self._forget()
+        missing = list(dict.fromkeys(w for w in words if w not in self.known))
+        # Pieces without inner white space are encoded a thousand at a time, a line each: a line end
+        # before a piece is an id of its own.
+        plain = [w for w in missing if not _INNER_SPACE.search(w)]
+        other = [w for w in missing if _INNER_SPACE.search(w)]
+        ids, sizes = [self.pool], []
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            own = np.array(self.tokenizer.encode("\n" + "\n".join(part), add_special_tokens=False).ids, np.uint32)
+            lines = np.flatnonzero(own == self.line_end)
+            if len(lines) != len(part):  # a piece that is no line of its own
+                other += part
+                plain[at : at + 1000] = [None] * len(part)
+                continue
+            ids.append(np.delete(own, lines))
+            sizes.append(np.diff(np.concatenate([lines, [len(own)]])) - 1)
+        for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else []:
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(e.ids)], np.int64))
+        learned = [w for w in plain if w is not None] + other
+        first = len(self.ends) - 1
+        self.known.update(zip(learned, range(first, first + len(learned)), strict=True))
+        self.pool = np.concatenate(ids)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.ends
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the n + 1 offsets of the texts' ids."""
@@ -70,28 +104,21 @@ class PieceEncoder:
         split = pc.split_pattern(plain, " ")
         per_text = np.diff(np.asarray(split.offsets))
         coded = split.flatten().dictionary_encode()
-        code, words = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        words = coded.dictionary.to_pylist()
         if mark:
             words = [w.replace(mark, " ") for w in words]
         # The first piece of a text has no space before it; others have.
-        first = np.zeros(len(code), bool)
-        first[(np.cumsum(per_text) - per_text)[per_text > 0]] = True
-        at = code * 2 + ~first
-        used, at = np.unique(at, return_inverse=True)
-        keys = [" " + words[u >> 1] if u & 1 else words[u >> 1] for u in used.tolist()]
-        if len(self.known) > MEMORY_PIECES:
-            self.known = {}
-        missing = [k for k in keys if k not in self.known]
-        self.known.update(zip(missing, self._ids(missing), strict=True))
-        each = [self.known[k] for k in keys]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        pool = np.concatenate(each) if each else np.zeros(0, np.uint32)
-        begin = np.cumsum(size) - size
-        n = size[at]
-        total = np.cumsum(n)
-        ids = pool[np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - n, n) + np.repeat(begin[at], n)]
-        ends = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(per_text)])]
-        return ids, ends
+        code = np.asarray(coded.indices).astype(np.int64)
+        leads = (np.cumsum(per_text) - per_text)[per_text > 0]
+        starts, place = np.unique(code[leads], return_inverse=True)
+        inner = [" " + w for w in words]
+        code[leads] = place + len(words)
+        keys = inner + [words[i] for i in starts.tolist()]
+        self._learn(keys)
+        at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        each = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(at)).take(pa.array(code))
+        ids, offsets = each.flatten().to_numpy(), np.asarray(each.offsets)
+        return ids, (offsets - offsets[0])[np.concatenate([[0], np.cumsum(per_text)])]
 
     @staticmethod
     def _settled(text: str, mark: str) -> str:
@@ -120,7 +147,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens:
             )
 
         for batch in batches:
-            for first, last in pieces(batch.column(1), 1 << 22):
+            for first, last in pieces(batch.column(1), 1 << 21):
                 ids, ends = encoder.encode(batch.column(1).slice(first, last - first))
                 ids = np.insert(ids, ends[1:], np.uint32(end_id))
                 sizes = np.diff(ends) + 1

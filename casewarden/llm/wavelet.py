@@ -31,13 +31,13 @@ class WaveletMatrix:
         current = ids.astype(np.uint16 if depth <= 16 else np.uint32)
         planes, ranks, zeros = [], [], []
         for bit in range(depth - 1, -1, -1):
-            one = (current >> bit) & 1 != 0
+            one = (current & current.dtype.type(1 << bit)).astype(bool)
             packed = np.packbits(one, bitorder="little")
             blocks = np.add.reduceat(np.bitwise_count(packed), np.arange(0, max(len(packed), 1), STEP // 8), dtype=np.int64) if len(packed) else np.zeros(1, np.int64)
             planes.append(packed)
             ranks.append(np.concatenate([[0], np.cumsum(blocks)]).astype(np.uint32))
             zeros.append(int(len(current) - ranks[-1][-1]))
-            current = np.concatenate([current[~one], current[one]])
+            current = np.concatenate([current.compress(~one), current.compress(one)])
         return cls(len(ids), planes, ranks, zeros, np.asarray(doc_ids, np.int64), np.asarray(offsets, np.uint64))
 
     def to_bytes(self) -> bytes:
@@ -132,8 +132,8 @@ class WaveletMatrix:
         values = np.zeros(self.n, np.uint16 if depth <= 16 else np.uint32)
         for level in range(depth - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            back = np.empty_like(values)
-            back[~one] = values[: self.zeros[level]]
-            back[one] = values[self.zeros[level] :] | values.dtype.type(1 << (depth - 1 - level))
-            values = back
+            # Where each id of this plane's order went: zeros first, then ones.
+            went = np.where(one, self.zeros[level] - 1 + np.cumsum(one, dtype=np.int32), np.cumsum(~one, dtype=np.int32) - 1)
+            values[self.zeros[level] :] |= values.dtype.type(1 << (depth - 1 - level))
+            values = values.take(went)
         return values.astype(np.uint32)
