@@ -47,6 +47,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFram
         docs.select(
             "doc_id", size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), hashed.alias("tie"),
             F.col("doc_id").cast("double").alias("v0"), _code("lang").alias("v1"), _code("source").alias("v2"),
+            F.lit(1).alias("node"),
         ),
         "kd_points",
     )
@@ -58,10 +59,9 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFram
         value = F.floor((F.coalesce(f"v{i}", F.lit(lo)) - lo) / ((hi - lo) or 1.0) * ((1 << VALUE_BITS) - 1)).cast("long")
         return F.shiftleft(value, HASH_BITS).bitwiseOR(F.col("tie"))
 
-    points = base.select("doc_id", "size", "text_crc32", *[order(i).alias(f"c{i}") for i in dims])
+    placed = base.select("node", "doc_id", "size", "text_crc32", *[order(i).alias(f"c{i}") for i in dims])
     nodes = {1: (0, shards)}  # open nodes: first shard, number of shards
     leaves: dict[int, int] = {}
-    placed = points.withColumn("node", F.lit(1))
     while open_nodes := {n: x for n, x in nodes.items() if x[1] > 1}:
         leaves |= {n: x[0] for n, x in nodes.items() if x[1] == 1}
         cuts = _cut_level(spark, placed, open_nodes)
