@@ -2,5 +2,136 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from casewarden.functions.primitives import PRIMITIVES
+from casewarden.operators import detectors as D
+from casewarden.operators import ledgers as L
+from casewarden.operators import narrative as X
+from casewarden.operators import network as N
+from casewarden.operators import reads as R
+from casewarden.operators import scoring as S
+from casewarden.plans.oracle import ORACLE_SQL  # noqa: F401
+from casewarden.sources.adapters import adapters
+
+Tables = dict[str, DataFrame]
+_BUILD: dict[str, Callable[[Tables], DataFrame]] = {}
+
+
+def _edges(t: Tables) -> DataFrame:
+    return N.case_network(t["alerts"], t["transactions"], t["signals"])
+
+
+def _members(t: Tables) -> DataFrame:
+    return N.network_members(t["alerts"], t["transactions"])
+
+
+def _docs(t: Tables) -> DataFrame:
+    return S.document_points(t["alerts"], t["documents"])
+
+
+def _valid(t: Tables) -> DataFrame:
+    return L.checked_decisions(t["decisions"]).where("reason IS NULL")
+
+
+def _brief(t: Tables) -> DataFrame:
+    signals = S.all_signals(S.signal_tables(t))
+    risk = S.risk_of(t)
+    return X.case_brief(t["alerts"], t["accounts"], risk, X.signal_text(signals), X.missing_evidence(_docs(t)), X.audit_timeline(t["audit"]))
+
+
+def _even(t: Tables) -> DataFrame:
+    """Alerts on even employers only, so that the pipeline opens cases."""
+    return t["alerts"].where("int(substr(account_id, 7)) % 2 = 0")
+
+
+def _ledger(t: Tables) -> DataFrame:
+    """A ledger that holds every fifth transaction already."""
+    return t["transactions"].where("int(substr(transaction_id, 4)) % 5 = 0").select("transaction_id")
+
+
+def _events(t: Tables) -> DataFrame:
+    return L.processing_events(t["transactions"], t["accounts"], t["alerts"], _ledger(t))
+
+
+_SIGNALS = {"sig_wage_harvesting": 0, "sig_account_control": 1, "sig_spending_anomaly": 2, "sig_geographic_risk": 3, "sig_sector_risk": 4}
+for _name, _i in _SIGNALS.items():
+    _BUILD[_name] = lambda t, i=_i: S.signal_tables(t)[S.TYPES[i]]
+
+_BUILD |= {
+    "src_parquet_adapters": lambda t: t["transactions"],
+    "onward_transfers": lambda t: D.onward_transfers(t["alerts"], t["transactions"]),
+    "join_interval": lambda t: D.onward_transfers(t["alerts"], t["transactions"], 12).select("payroll_id", "transfer_id"),
+    "shared_access": lambda t: D.shared_access(t["signals"]),
+    "worker_flows": lambda t: D.worker_flows(t["alerts"], t["transactions"]),
+    "network_members": _members,
+    "corridors": lambda t: D.corridors(t["alerts"], t["accounts"], t["transactions"]),
+    "foreign_cash": lambda t: D.foreign_cash(_members(t), t["alerts"], t["accounts"], t["transactions"]),
+    "edges_payroll": lambda t: N.payroll_edges(t["alerts"], t["transactions"]),
+    "edges_onward": lambda t: N.onward_edges(_members(t), N.controllers(t["alerts"], t["transactions"]), t["transactions"]),
+    "edges_shared_access": lambda t: N.shared_access_edges(_members(t), t["signals"]),
+    "case_network": _edges,
+    "node_roles": lambda t: N.node_roles(_edges(t), t["alerts"]),
+    "node_labels": lambda t: N.node_labels(_edges(t), t["accounts"]),
+    "network_summary": lambda t: N.network_summary(_edges(t)),
+    "all_signals": lambda t: S.all_signals(S.signal_tables(t)),
+    "typology_points": lambda t: S.typology_points(t["alerts"], S.all_signals(S.signal_tables(t))),
+    "case_entities": lambda t: S.case_entities(t["alerts"], _edges(t)),
+    "intelligence_points": lambda t: S.intelligence_points(t["alerts"], S.case_entities(t["alerts"], _edges(t)), t["watchlist"]),
+    "document_points": _docs,
+    "risk_summary": S.risk_of,
+    "brief_signal_text": lambda t: X.signal_text(S.all_signals(S.signal_tables(t))),
+    "brief_evidence_text": lambda t: X.evidence_text(t["documents"]),
+    "brief_audit_timeline": lambda t: X.audit_timeline(t["audit"], "actor_name"),
+    "missing_evidence": lambda t: X.missing_evidence(_docs(t)),
+    "case_brief": _brief,
+    "case_prompt": lambda t: X.case_prompt(_brief(t), X.evidence_text(t["documents"])),
+    "case_json_risk": lambda t: X.json_of(S.risk_of(t), ["risk_score", "risk_band", "recommended_route"]),
+    "case_json_typologies": lambda t: X.json_array(S.all_signals(S.signal_tables(t)), ["signal_type"], ["signal_type", "detected", "points"]),
+    "case_json_network": lambda t: X.json_array(_edges(t), ["relationship_type", "source", "target"], ["relationship_type", "source", "target", "event_count", "total_cents"]),
+    "decisions_validate": lambda t: L.checked_decisions(t["decisions"]).select("decision_id", "reason"),
+    "decisions_apply": lambda t: _valid(t).select("decision_id", "case_id", "decision", "reviewer_name", "rationale", "decided_at"),
+    "decisions_audit": lambda t: L.decision_audit(_valid(t)),
+    "decisions_alert_status": lambda t: L.apply_alert_status(t["alerts"], _valid(t)),
+    "messages_validate": lambda t: L.checked_messages(t["messages"], _even(t)).select("message_id", "reason"),
+    "messages_audit": lambda t: L.message_audit(L.checked_messages(t["messages"], t["alerts"]).where("reason IS NULL")),
+    "executions_validate": lambda t: L.checked_executions(t["executions"], _even(t)).select("execution_id", "reason"),
+    "ledger_link_check": lambda t: L.ledger_links(_valid(t), L.decision_audit(_valid(t).where("decision_seq % 10 <> 0"))),
+    "pipe_auto_case": lambda t: L.auto_cases(t["transactions"], t["accounts"], _even(t)),
+    "pipe_processing_events": _events,
+    "pipe_audit_events": lambda t: L.pipeline_audit(_events(t), _events(t).where("int(substr(transaction_id, 4)) % 7 = 0").select(F.concat(F.lit("AUD-"), "processing_event_id").alias("audit_event_id"))),
+    "pipe_batch_summary": lambda t: L.batch_summary(_events(t)),
+    "pipe_status": lambda t: L.processing_status(_events(t), S.risk_of(t)),
+    "read_triage_queue": lambda t: R.triage_queue(t["alerts"], t["accounts"], S.risk_of(t)),
+    "read_documents": lambda t: R.case_documents(t["documents"]),
+    "read_intelligence": lambda t: R.case_intelligence(t["alerts"], _edges(t), t["watchlist"]),
+    "read_transactions": lambda t: R.case_transactions(t["alerts"], _edges(t), t["transactions"]),
+    "read_decisions": lambda t: R.newest(_valid(t).select("case_id", "decision_id", "decision", "decided_at"), ["decided_at", "decision_id"]),
+    "read_audit": lambda t: R.newest(t["audit"].select("case_id", "audit_event_id", "event_ts", "event_type", "event_detail"), ["event_ts", "audit_event_id"]),
+    "topk_recent_processing": lambda t: R.latest(_events(t).select("case_id", "processing_event_id", "processed_at"), ["processed_at", "processing_event_id"], 10),
+    "topk_chat_history": lambda t: R.latest(t["messages"].select("case_id", "message_id", "message_ts"), ["message_ts", "message_id"], 20),
+    "topk_largest_transaction": lambda t: R.largest_transaction(R.case_transactions(t["alerts"], _edges(t), t["transactions"])),
+    "merge_insert_only": lambda t: L.insert_if_absent(
+        _even(t).select("case_id", "account_id"), t["alerts"].select("case_id", F.concat(F.lit("NEW-"), "account_id").alias("account_id")), ["case_id"]
+    ),
+    "merge_upsert_all": lambda t: L.merge_upsert(
+        _even(t).select("case_id", "account_id", "priority"), t["alerts"].where("priority = 'HIGH'").select("case_id", F.lit("X").alias("account_id"), F.lit("Y").alias("priority")), ["case_id"]
+    ),
+    "merge_upsert_partial": lambda t: L.merge_upsert(
+        _even(t).select("case_id", "account_id", "priority"), t["alerts"].where("priority = 'HIGH'").select("case_id", F.lit("X").alias("account_id"), F.lit("Y").alias("priority")), ["case_id"], ["priority"]
+    ),
+    "sink_delete_where": lambda t: L.delete_where(t["accounts"].select("account_id", "sector"), F.col("sector") == "RETAIL"),
+    "sink_update_where": lambda t: L.update_where(t["alerts"], F.col("priority") == "HIGH", {"alert_status": F.lit("REVIEWED")}).select("case_id", "alert_status"),
+    "validate_not_null": lambda t: L.not_null_violations(t["transactions"], "transaction_id", ["to_account_id", "counterparty_country"]),
+    "validate_unique_key": lambda t: L.duplicate_keys(t["signals"], ["account_id", "device_id", "ip_address"]),
+}
+
+
+def _run(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(adapters(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _run(f) for k, f in {**_BUILD, **PRIMITIVES}.items()}
