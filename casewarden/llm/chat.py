@@ -47,11 +47,12 @@ def fold_events(events: DataFrame) -> DataFrame:
     e = e.withColumn("n", F.row_number().over(own.orderBy(F.col("seq").asc_nulls_first(), delta, "kind", "text")))
     e = e.withColumn("reset", F.max(F.when(~delta, F.col("n"))).over(own))
     e = e.withColumn("first_seq", F.min("seq").over(own))
+    e = e.withColumn("role", F.min_by(F.col("role"), F.when(F.col("role").isNotNull(), F.col("n"))).over(own))
     live = e.where(F.col("reset").isNull() | (F.col("n") >= F.col("reset")))
     parts = F.array_sort(F.collect_list(F.struct("n", "text")))
     m = live.groupBy("conv_id", "message_id").agg(
         F.first("first_seq").alias("first_seq"),
-        F.min_by(F.col("role"), F.when(F.col("role").isNotNull(), F.col("n"))).alias("role"),
+        F.first("role").alias("role"),
         F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"),
         F.min_by("kind", "n").alias("kind"),
     )
