@@ -182,6 +182,9 @@ _BODY = {
     "fn_deterministic_id": "SELECT case_id, 'RISK-' || case_id || '-V1' AS id, sha256(case_id || '|' || account_id) AS key FROM alerts",
     "fn_cast": "SELECT transaction_id, CAST(cents AS VARCHAR) AS s, k AS n FROM tx", "apply_defaults": "SELECT transaction_id, coalesce(counterparty_country, 'N0') AS country, coalesce(to_account_id, 'NONE') AS target FROM tx",
     "sort_breakdown": "SELECT from_account_id, 'all_cents' AS factor, CAST(sum(cents) AS BIGINT) AS points FROM tx GROUP BY 1 UNION ALL SELECT from_account_id, 'n', count(*) FROM tx GROUP BY 1",
+    "sink_overwrite": "SELECT case_id, priority FROM alerts WHERE k % 3 <> 0", "sink_append": "SELECT account_id, account_type, country FROM accounts", "src_csv_typed": "SELECT * FROM kyc",
+    "src_change_stream": "SELECT event_id, user_id, upper(event_type) AS kind FROM events", "stream_dedupe": "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events",
+    "src_parse_json_cols": "SELECT audit_event_id, CAST(event_metadata ->> '$.k' AS INT) * 2 AS twice FROM aud",
 }
 
 ORACLE_SQL = {name: f"WITH {_TABLES}\n{body}" for name, body in _BODY.items()}

@@ -16,6 +16,9 @@ from casewarden.operators import reads as R
 from casewarden.operators import scoring as S
 from casewarden.plans.oracle import ORACLE_SQL  # noqa: F401
 from casewarden.sources.adapters import adapters
+from casewarden.sources.files import append_table, overwrite_table, read_csv_typed, write_csv
+from casewarden.storage import fresh_folder
+from casewarden.streaming.changes import drain
 
 Tables = dict[str, DataFrame]
 _BUILD: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -135,3 +138,38 @@ def _run(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str],
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _run(f) for k, f in {**_BUILD, **PRIMITIVES}.items()}
+
+
+def _sink_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, t = fresh_folder(spark, "overwrite"), adapters(spark, sf_dir)
+    overwrite_table(t["alerts"].where("priority = 'HIGH'"), path)
+    return overwrite_table(t["alerts"].where("priority = 'MEDIUM'"), path).select("case_id", "priority")
+
+
+def _sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, t = fresh_folder(spark, "append"), adapters(spark, sf_dir)
+    for kind in ("CORPORATE", "INDIVIDUAL"):
+        rows = append_table(t["accounts"].where(F.col("account_type") == kind).select("account_id", "account_type", "country"), path)
+    return rows
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, kyc = fresh_folder(spark, "csv"), adapters(spark, sf_dir)["kyc"]
+    write_csv(kyc.toDF(*[c.upper() for c in kyc.columns]), path)
+    return read_csv_typed(spark, path, kyc.schema)
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drain(spark, f"{sf_dir}/events.parquet", lambda e: e.select("event_id", "user_id", F.upper("event_type").alias("kind")), "changes")
+
+
+def _stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def once(e: DataFrame) -> DataFrame:
+        e = e.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", "1 day")
+        return e.select("user_id", "event_type", F.date_trunc("DAY", "at").alias("at")).dropDuplicates(["user_id", "event_type", "at"])
+
+    return drain(spark, f"{sf_dir}/events.parquet", once, "dedupe").select("user_id", "event_type", F.date_format("at", "yyyy-MM-dd").alias("day"))
+
+
+QUERIES |= {"sink_overwrite": _sink_overwrite, "sink_append": _sink_append, "src_csv_typed": _csv, "src_change_stream": _stream, "stream_dedupe": _stream_dedupe}
+QUERIES["src_parse_json_cols"] = _run(lambda t: t["audit"].select("audit_event_id", F.from_json("event_metadata", "k int").alias("o")).select("audit_event_id", (F.col("o.k") * 2).alias("twice")))
