@@ -226,10 +226,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     leaders = known.join(member.select("class_id").distinct(), F.col("doc_id") == F.col("class_id"), "left_semi")
 
     bands = leaders.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("doc_id", F.xxhash64("doc_id", "bucket")).alias("drawn")
-    ).where("first != last")
-    shared = written(bands.join(buckets.select("bucket", "first", "drawn"), "bucket"), "buckets")
+    buckets = bands.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
+    shared = written(bands.join(buckets.select("bucket", "first"), "bucket"), "buckets")
+    draws = shared.groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("doc_id", "bucket")).alias("drawn"))
     known_sig = sig.select("doc_id", "n_units", "sig")
     texts = docs.select("doc_id", "text")
 
@@ -253,7 +252,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         return rows.join(roots, rows["doc_id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "doc_id")).drop("node", "root")
 
     links = check(ordered(shared, "first", "doc_id"))
-    tagged = labelled(shared, links)
+    tagged = labelled(shared.join(draws, "bucket"), links)
     drawn = tagged.select("bucket", F.when(F.col("doc_id") == F.col("drawn"), F.col("label")).alias("l")).groupBy("bucket").agg(F.max("l").alias("drawn_label"))
     second = tagged.where(F.col("drawn") != F.col("first")).join(drawn, "bucket").where("label != drawn_label")
     links = written(links.union(check(ordered(second, "drawn", "doc_id"))), "links")
