@@ -167,8 +167,9 @@ def _sharing_rare_units(texts: DataFrame, open_docs: DataFrame, sizes: DataFrame
     """Pairs (a, b) of open_docs (doc_id, label) with different labels that can reach the similarity.
 
     With units in one order, rarest first, texts of n units that reach it share one of their
-    first n - ceil(similarity * n) + 1 (prefix filter), so no pair is lost; a copy whose own
-    edits fill that prefix meets nobody.
+    first n - ceil(similarity * n) + 1 (prefix filter). At the first unit that two texts share,
+    what follows in either bounds their overlap (positional filter). No pair is lost by either; a
+    copy whose own edits fill half a prefix meets nobody of its size.
     """
     ids = open_docs.select("doc_id").distinct()
     units = written(_unit_rows(_only(texts, ids), shingle).distinct(), "unit_rows")
@@ -176,11 +177,12 @@ def _sharing_rare_units(texts: DataFrame, open_docs: DataFrame, sizes: DataFrame
     n_units = sizes.join(open_docs, "doc_id").select("doc_id", "label", "n_units").distinct()
     first = F.col("n_units") - F.ceil(F.col("n_units") * similarity - 1e-9) + 1
     rows = units.join(common, "unit").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "unit")))
-    rows = rows.join(n_units, "doc_id").where((F.col("place") <= first) & (F.col("n") > 1)).select("doc_id", "label", "n_units", "unit")
-    x = rows.select("unit", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_units").alias("ka"))
-    y = rows.select("unit", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_units").alias("kb"))
+    rows = rows.join(n_units, "doc_id").where((F.col("place") <= first) & (F.col("n") > 1)).select("doc_id", "label", "n_units", "unit", (F.col("n_units") - F.col("place") + 1).alias("left"))
+    x = rows.select("unit", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_units").alias("ka"), F.col("left").alias("ra"))
+    y = rows.select("unit", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_units").alias("kb"), F.col("left").alias("rb"))
     sized = F.least("ka", "kb") >= similarity * F.greatest("ka", "kb") - 1e-9
-    return x.join(y, "unit").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sized).select("a", "b").distinct()
+    enough = F.least("ra", "rb") >= similarity / (1 + similarity) * (F.col("ka") + F.col("kb")) - 1e-9
+    return x.join(y, "unit").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sized & enough).select("a", "b").distinct()
 
 
 def _unit_rows(docs: DataFrame, shingle: int) -> DataFrame:
