@@ -187,4 +187,44 @@ _BODY = {
     "src_parse_json_cols": "SELECT audit_event_id, CAST(event_metadata ->> '$.k' AS INT) * 2 AS twice FROM aud",
 }
 
+_EXE = """FROM (SELECT 'EXE-' || conv_id || '-' || turn AS execution_id, 'CASE-' || (conv_id % (SELECT count(*) FROM supplier)) AS case_id,
+  ['risk', 'typology', 'network', 'evidence', 'brief', 'orchestrator', NULL][CAST((conv_id + turn) % 7 + 1 AS INT)] AS agent_name,
+  TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 7 + turn AS INT)) AS executed_at, length(text) AS response_chars FROM conversations)
+  WHERE agent_name IS NOT NULL AND case_id IN (SELECT case_id FROM alerts WHERE k % 2 = 0)"""
+
+
+def _upsert(new: str, key: str, old: str, kept: str) -> str:
+    """New rows, stored ones with their kept columns, and old rows of cases that are gone."""
+    return f"""SELECT * FROM (WITH n AS ({new}) SELECT n.* REPLACE ({kept}) FROM n LEFT JOIN (SELECT case_id AS c FROM alerts WHERE priority = 'HIGH') h ON h.c = n.case_id
+      UNION ALL SELECT n.* REPLACE ('OLD-' || {key} AS {key}, 'OLD-' || case_id AS case_id, {old}) FROM n WHERE case_id IN (SELECT case_id FROM alerts WHERE priority = 'HIGH'))"""
+
+
+_AGO, _AT = "TIMESTAMP '2023-12-31'", "TIMESTAMP '2024-06-01'"
+_EVENT = {"key": "audit_event_id", "old": f"{_AGO} AS event_ts, 'old' AS event_detail", "kept": f"CASE WHEN c IS NULL THEN event_ts ELSE {_AGO} END AS event_ts"}
+_BODY |= {
+    "messages_apply": "SELECT * FROM msgs WHERE message_role IN ('USER', 'ASSISTANT') AND case_id IN (SELECT case_id FROM alerts)",
+    "executions_apply": f"SELECT *, 'COMPLETED' AS execution_status {_EXE}",
+    "executions_audit": f"""SELECT 'AUD-' || execution_id AS audit_event_id, case_id, executed_at AS event_ts, 'AGENT' AS actor_type, agent_name AS actor_name, 'AGENT_EXECUTION' AS event_type, execution_id AS object_id,
+      '{{"response_chars":' || coalesce(CAST(response_chars AS VARCHAR), 'null') || '}}' AS event_metadata {_EXE}""",
+    "risk_score_snapshot": _upsert(
+        f"SELECT 'RSK-' || case_id AS score_id, case_id, risk_score, risk_band, evidence_strength, recommended_route, {_AT} AS calculated_at FROM rsk",
+        "score_id", f"'OLD' AS risk_band, {_AGO} AS calculated_at", "calculated_at AS calculated_at",
+    ),
+    "risk_audit_event": _upsert(
+        f"""SELECT 'AUD-RSK-' || case_id AS audit_event_id, case_id, {_AT} AS event_ts, 'RISK_CALCULATED' AS event_type,
+          'Calculated ' || risk_score || '/100 ' || risk_band || ' risk with ' || evidence_strength || ' evidence.' AS event_detail FROM rsk""", **_EVENT
+    ),
+    "brief_snapshot": _upsert(
+        f"SELECT 'BRF-' || case_id AS brief_id, case_id, executive_summary, recommended_action, {_AT} AS generated_at FROM brief",
+        "brief_id", f"'old' AS executive_summary, {_AGO} AS generated_at", f"CASE WHEN c IS NULL THEN generated_at ELSE {_AGO} END AS generated_at",
+    ),
+    "brief_audit_event": _upsert(
+        f"""SELECT 'AUD-BRF-' || case_id AS audit_event_id, case_id, {_AT} AS event_ts, 'BRIEF_GENERATED' AS event_type, 'Brief generated: ' || recommended_action AS event_detail FROM brief""", **_EVENT
+    ),
+    "case_json_brief": """SELECT case_id, '{"executive_summary":"' || executive_summary || '","hypothesis":"' || hypothesis || '","recommended_action":"' || recommended_action || '"}' AS payload FROM brief""",
+    "case_json_evidence": """SELECT a.case_id, '{"documents":[' || coalesce(d.l, '') || '],"watchlist":[' || coalesce(w.l, '') || ']}' AS payload FROM alerts a
+      LEFT JOIN (SELECT case_id, string_agg(DISTINCT '"' || document_id || '"', ',' ORDER BY '"' || document_id || '"') AS l FROM docs GROUP BY 1) d ON d.case_id = a.case_id
+      LEFT JOIN (SELECT case_id, string_agg(DISTINCT '"' || watchlist_id || '"', ',' ORDER BY '"' || watchlist_id || '"') AS l FROM ent JOIN watch ON matched_account_id = account_id GROUP BY 1) w ON w.case_id = a.case_id""",
+}
+
 ORACLE_SQL = {name: f"WITH {_TABLES}\n{body}" for name, body in _BODY.items()}

@@ -14,6 +14,7 @@ from casewarden.operators import narrative as X
 from casewarden.operators import network as N
 from casewarden.operators import reads as R
 from casewarden.operators import scoring as S
+from casewarden.operators import snapshots as Z
 from casewarden.plans.oracle import ORACLE_SQL  # noqa: F401
 from casewarden.sources.adapters import adapters
 from casewarden.sources.files import append_table, overwrite_table, read_csv_typed, write_csv
@@ -60,6 +61,31 @@ def _events(t: Tables) -> DataFrame:
     return L.processing_events(t["transactions"], t["accounts"], t["alerts"], _ledger(t))
 
 
+def _messages(t: Tables) -> DataFrame:
+    return L.checked_messages(t["messages"], t["alerts"]).where("reason IS NULL")
+
+
+def _executions(t: Tables) -> DataFrame:
+    return L.checked_executions(t["executions"], _even(t)).where("reason IS NULL")
+
+
+def _stored(t: Tables, rows: DataFrame, key: str, old: dict[str, str]) -> DataFrame:
+    """An earlier table like ``rows``: cases of high priority, and as many that are gone now."""
+    high = t["alerts"].where("priority = 'HIGH'").select("case_id")
+    was = rows.join(high, "case_id").withColumns({c: F.expr(e) for c, e in old.items()}).select(*rows.columns)
+    return was.unionByName(was.withColumns({c: F.concat(F.lit("OLD-"), c) for c in (key, "case_id")}))
+
+
+def _snapshot(rows: Callable, merge: Callable, source: Callable, key: str, old: dict[str, str]) -> Callable[[Tables], DataFrame]:
+    def build(t: Tables) -> DataFrame:
+        df = source(t)
+        return merge(df, _stored(t, rows(df), key, old))
+
+    return build
+
+
+_LONG_AGO = "TIMESTAMP_NTZ '2023-12-31 00:00:00'"
+_OLD_EVENT = {"event_ts": _LONG_AGO, "event_detail": "'old'"}
 _SIGNALS = {"sig_wage_harvesting": 0, "sig_account_control": 1, "sig_spending_anomaly": 2, "sig_geographic_risk": 3, "sig_sector_risk": 4}
 for _name, _i in _SIGNALS.items():
     _BUILD[_name] = lambda t, i=_i: S.signal_tables(t)[S.TYPES[i]]
@@ -103,6 +129,15 @@ _BUILD |= {
     "messages_audit": lambda t: L.message_audit(L.checked_messages(t["messages"], t["alerts"]).where("reason IS NULL")),
     "executions_validate": lambda t: L.checked_executions(t["executions"], _even(t)).select("execution_id", "reason"),
     "ledger_link_check": lambda t: L.ledger_links(_valid(t), L.decision_audit(_valid(t).where("decision_seq % 10 <> 0"))),
+    "messages_apply": lambda t: Z.message_rows(_messages(t)),
+    "executions_apply": lambda t: Z.execution_rows(_executions(t)),
+    "executions_audit": lambda t: Z.execution_audit(_executions(t)),
+    "risk_score_snapshot": _snapshot(Z.risk_rows, Z.risk_score_snapshot, S.risk_of, "score_id", {"risk_band": "'OLD'", "calculated_at": _LONG_AGO}),
+    "risk_audit_event": _snapshot(Z.risk_audit_rows, lambda r, a: Z.audit_snapshot(Z.risk_audit_rows(r), a), S.risk_of, "audit_event_id", _OLD_EVENT),
+    "brief_snapshot": _snapshot(Z.brief_rows, Z.brief_snapshot, _brief, "brief_id", {"executive_summary": "'old'", "generated_at": _LONG_AGO}),
+    "brief_audit_event": _snapshot(Z.brief_audit_rows, lambda b, a: Z.audit_snapshot(Z.brief_audit_rows(b), a), _brief, "audit_event_id", _OLD_EVENT),
+    "case_json_brief": lambda t: X.json_of(_brief(t), ["executive_summary", "hypothesis", "recommended_action"]),
+    "case_json_evidence": lambda t: Z.evidence_json(t["alerts"], S.case_entities(t["alerts"], _edges(t)), t["documents"], t["watchlist"]),
     "pipe_auto_case": lambda t: L.auto_cases(t["transactions"], t["accounts"], _even(t)),
     "pipe_processing_events": _events,
     "pipe_audit_events": lambda t: L.pipeline_audit(_events(t), _events(t).where("int(substr(transaction_id, 4)) % 7 = 0").select(F.concat(F.lit("AUD-"), "processing_event_id").alias("audit_event_id"))),
