@@ -18,7 +18,7 @@ from casewarden.operators import snapshots as Z
 from casewarden.plans.oracle import ORACLE_SQL  # noqa: F401
 from casewarden.sources.adapters import adapters
 from casewarden.sources.files import append_table, overwrite_table, read_csv_typed, write_csv
-from casewarden.storage import fresh_folder
+from casewarden.storage import fresh_folder, written
 from casewarden.streaming.changes import drain
 
 Tables = dict[str, DataFrame]
@@ -78,7 +78,7 @@ def _stored(t: Tables, rows: DataFrame, key: str, old: dict[str, str]) -> DataFr
 
 def _snapshot(rows: Callable, merge: Callable, source: Callable, key: str, old: dict[str, str]) -> Callable[[Tables], DataFrame]:
     def build(t: Tables) -> DataFrame:
-        df = source(t)
+        df = written(source(t), "snapshot")  # read twice: new rows, and stored ones derived from them
         return merge(df, _stored(t, rows(df), key, old))
 
     return build
