@@ -5,8 +5,9 @@ Texts are range-partitioned and sorted by document id, encoded, cut into shards
 own writer stores the images, one row each, under the shared folder, so a task that is lost or
 run twice leaves nothing behind and any store that Spark can write to will do.
 
-Encoding splits texts at single spaces between non-space characters, where the tokenizer itself
-always splits, and encodes each distinct piece of a batch once; texts keep all their ids.
+Encoding splits texts at single spaces between non-space characters and before line ends that
+follow one, where the tokenizer itself always splits. A worker encodes a distinct piece once and
+remembers it from task to task as long as pieces are seen again; texts keep all their ids.
 
 Defined results: null text is empty and has the end id only; null ids sort first; repeated rows
 stay, ordered by id, then text; an empty table has no shards. Other columns are ignored.
@@ -18,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,12 @@ from casewarden.storage import written
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-#: Distinct pieces a worker remembers before it starts afresh.
-MEMORY_PIECES = 300_000
+#: Distinct pieces a worker remembers (about 150 bytes each) before it drops those not seen again.
+MEMORY_PIECES = 800_000
+#: Bytes of text that are split and looked up together.
+BATCH_BYTES = 1 << 22
+#: All white space that the tokenizer knows, as a class of the regular expressions of Arrow.
+_WHITE = r"\s\x0b\x{85}\p{Z}"
 #: Where a space may not split: next to other white space, or at an end.
 _UNSAFE = re.compile(r"(?:\s |\A | (?=\s)| \Z)")
 _INNER_SPACE = re.compile(r"\A\Z|\A\s\s|\A[^\S ]|\S\s|\A \Z")
@@ -54,53 +60,65 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self._forget()
+        self.known: dict[str, int] = {}
+        self.pool, self.ends, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        """Keep the pieces that several batches had, at most half of the memory."""
+        keep = np.flatnonzero(self.seen > 1)
+        keep = np.sort(keep[np.argsort(-self.seen[keep].astype(np.int64), kind="stable")[: MEMORY_PIECES // 2]])
+        words = list(self.known)
+        self.known = {words[i]: k for k, i in enumerate(keep.tolist())}
+        each = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(keep))
+        self.pool, self.ends, self.seen = each.flatten().to_numpy(), np.asarray(each.offsets).astype(np.int64), self.seen[keep] // 2
 
     def _learn(self, words: list[str]) -> None:
         """Encode words that are not known yet; their ids join the pool."""
         if len(self.known) > MEMORY_PIECES:
             self._forget()
         missing = list(dict.fromkeys(w for w in words if w not in self.known))
-        # Pieces without inner white space are encoded a thousand at a time, a line each: a line end
+        # Pieces without inner white space are encoded 200 at a time, a line each: a line end
         # before a piece is an id of its own.
-        plain = [w for w in missing if not _INNER_SPACE.search(w)]
-        other = [w for w in missing if _INNER_SPACE.search(w)]
+        plain: list[str | None] = []
+        other: list[str] = []
+        for w in missing:
+            (other if _INNER_SPACE.search(w) else plain).append(w)
         ids, sizes = [self.pool], []
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
+        for at in range(0, len(plain), 200):
+            part = plain[at : at + 200]
             own = np.array(self.tokenizer.encode("\n" + "\n".join(part), add_special_tokens=False).ids, np.uint32)
             lines = np.flatnonzero(own == self.line_end)
             if len(lines) != len(part):  # a piece that is no line of its own
                 other += part
-                plain[at : at + 1000] = [None] * len(part)
+                plain[at : at + 200] = [None] * len(part)
                 continue
             ids.append(np.delete(own, lines))
             sizes.append(np.diff(np.concatenate([lines, [len(own)]])) - 1)
-        for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else []:
-            ids.append(np.array(e.ids, np.uint32))
-            sizes.append(np.array([len(e.ids)], np.int64))
+        if other:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
+            sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
         learned = [w for w in plain if w is not None] + other
         first = len(self.ends) - 1
         self.known.update(zip(learned, range(first, first + len(learned)), strict=True))
         self.pool = np.concatenate(ids)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.ends
+        self.seen = np.concatenate([self.seen, np.zeros(len(learned), np.uint32)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the n + 1 offsets of the texts' ids."""
         texts = texts.fill_null("").cast(pa.large_string())
         # A space that may not split is hidden behind a character that the texts do not use.
-        odd = pc.match_substring_regex(texts, r"(\s |\A | \s| \z)")
+        odd = pc.match_substring_regex(texts, rf"([{_WHITE}] |\A | [{_WHITE}]| \z)")
         plain = texts
-        mark = None
+        mark = ""
         if pc.any(odd).as_py():
             everything = "".join(texts.filter(odd).to_pylist())
             mark = next(c for c in map(chr, range(0xE000, 0x10FFFF)) if c not in everything)
             hidden = [_UNSAFE.sub(lambda m: m[0].replace(" ", mark), self._settled(t, mark)) for t in texts.filter(odd).to_pylist()]
             plain = pc.replace_with_mask(texts, odd, pa.array(hidden, pa.large_string()))
+        # A line end that follows no white space begins a piece; nothing else splits off "\n" behind a space.
+        plain = pc.replace_substring_regex(plain, rf"([^{_WHITE}{mark}])\n", r"\1 " + "\n")
         split = pc.split_pattern(plain, " ")
         per_text = np.diff(np.asarray(split.offsets))
         coded = split.flatten().dictionary_encode()
@@ -111,11 +129,12 @@ class PieceEncoder:
         code = np.asarray(coded.indices).astype(np.int64)
         leads = (np.cumsum(per_text) - per_text)[per_text > 0]
         starts, place = np.unique(code[leads], return_inverse=True)
-        inner = [" " + w for w in words]
+        inner = [w if w[:1] == "\n" else " " + w for w in words]
         code[leads] = place + len(words)
         keys = inner + [words[i] for i in starts.tolist()]
         self._learn(keys)
         at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        self.seen[at] += 1
         each = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(at)).take(pa.array(code))
         ids, offsets = each.flatten().to_numpy(), np.asarray(each.offsets)
         return ids, (offsets - offsets[0])[np.concatenate([[0], np.cumsum(per_text)])]
@@ -126,6 +145,16 @@ class PieceEncoder:
         return re.sub(r"\s{2,}", lambda m: m[0].replace(" ", mark), text)
 
 
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def _encoder(path: str) -> PieceEncoder:
+    """One for each worker process; what it remembers serves its next tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
+
 def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """docs (doc_id, text) -> the written shard table: part, seq, n_docs, n_tokens, image.
 
@@ -133,7 +162,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = PieceEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = _encoder(path), TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, list[int], list[int]]] = []
         n_held = 0
 
@@ -147,7 +176,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens:
             )
 
         for batch in batches:
-            for first, last in pieces(batch.column(1), 1 << 21):
+            for first, last in pieces(batch.column(1), BATCH_BYTES):
                 ids, ends = encoder.encode(batch.column(1).slice(first, last - first))
                 ids = np.insert(ids, ends[1:], np.uint32(end_id))
                 sizes = np.diff(ends) + 1
