@@ -227,4 +227,56 @@ _BODY |= {
       LEFT JOIN (SELECT case_id, string_agg(DISTINCT '"' || watchlist_id || '"', ',' ORDER BY '"' || watchlist_id || '"') AS l FROM ent JOIN watch ON matched_account_id = account_id GROUP BY 1) w ON w.case_id = a.case_id""",
 }
 
+_HAS = "regexp_matches(lower(question), '{}')"
+_ASK = """(SELECT message_id, case_id, ['Review score, typology, network, evidence and brief.', 'Why this score?', 'The payroll evidence?', 'Connected accounts?', 'What is missing?', 'Which country?', 'What do you recommend?', 'Hello.']
+  [CAST(length(coalesce(message_text, '')) % 8 + 1 AS INT)] || ' ' || coalesce(message_text, '') AS question FROM msgs WHERE message_role = 'USER')"""
+_R = {
+    "risk": _HAS.format("score|risk|92|critical|points|band"),
+    "typology": _HAS.format("typology|typologies|wage|payroll|harvest|transaction|spending|amount|payment|geograph|country|location|jurisdiction|sector"),
+    "network": _HAS.format("network|connected|controller|account control|shared device|funnel|cash-out"),
+    "evidence": _HAS.format("document|watchlist|adverse|media|evidence|missing|gap|need next"),
+    "brief": _HAS.format("summary|summarise|summarize|brief|hypothesis|suspicion|action|recommend|decision|sar|what should"),
+}
+_R |= {n: f"({_R[n]} OR NOT ({' OR '.join(_R.values())}))" for n in ("risk", "brief")}
+_T = {
+    "risk": "'all'", "network": "'all'",
+    "typology": f"CASE WHEN {_HAS.format('wage|payroll|harvest')} THEN 'wage' WHEN {_HAS.format('transaction|spending|amount|payment')} THEN 'spending' WHEN {_HAS.format('geograph|country|location|jurisdiction')} THEN 'geography' ELSE 'general' END",
+    "evidence": f"CASE WHEN {_HAS.format('missing|gap|more evidence|need next')} THEN 'gap' ELSE 'review' END",
+    "brief": f"CASE WHEN {_HAS.format('action|recommend|decision|sar|what should')} THEN 'action' WHEN {_HAS.format('hypothesis|suspicion')} THEN 'hypothesis' ELSE 'summary' END",
+}
+_POINTS = ", ".join(f"{{'l': -{c}, 'n': '{c.replace('_', ' ')}'}}" for c in ("wage_harvesting", "account_control", "spending_anomaly", "geographic_risk", "sector_risk", "intelligence", "document"))
+_A = {
+    "risk": f"""SELECT case_id, 'all' AS topic, case_id || ' scores ' || risk_score || '/100 (' || risk_band || '), evidence ' || evidence_strength || ': '
+      || array_to_string(list_transform(list_sort([{_POINTS}]), lambda p: p.n || ' +' || (-p.l)), '; ') || '. Proposed: ' || recommended_route || '.' AS answer FROM rsk""",
+    "typology": """SELECT case_id, topic, CASE topic WHEN 'wage' THEN 'Wage harvesting adds ' || coalesce(w, 0) || ' points.' WHEN 'geography' THEN 'Countries: ' || coalesce(c, 'none') || '.' WHEN 'general' THEN 'Signals: ' || coalesce(l, 'none') || '.'
+      ELSE coalesce(n, 0) || ' transactions, ' || coalesce(s, 0) || ' cents in all, ' || coalesce(m, 0) || ' at most.' END AS answer FROM alerts
+      LEFT JOIN (SELECT case_id, max(points) FILTER (signal_type = 'WAGE_HARVESTING') AS w, string_agg(signal_type || ' +' || points, '; ' ORDER BY signal_type) AS l FROM sigs WHERE detected GROUP BY 1) USING (case_id)
+      LEFT JOIN (SELECT case_id, count(*) AS n, sum(cents) AS s, max(cents) AS m FROM ctx GROUP BY 1) USING (case_id)
+      LEFT JOIN (SELECT case_id, string_agg(DISTINCT counterparty_country, ', ' ORDER BY counterparty_country) AS c FROM ctx JOIN (SELECT transaction_id, counterparty_country FROM tx) USING (transaction_id) GROUP BY 1) USING (case_id)
+      CROSS JOIN (SELECT unnest(['wage', 'spending', 'geography', 'general']) AS topic)""",
+    "network": """SELECT case_id, 'all' AS topic, coalesce(n, 0) || ' edges: ' || coalesce(kinds, 'none') || '.' AS answer FROM alerts LEFT JOIN (SELECT case_id, sum(e) AS n, string_agg(relationship_type || ' (' || e || ')', ', ' ORDER BY e DESC, relationship_type) AS kinds
+      FROM (SELECT case_id, relationship_type, count(*) AS e FROM net GROUP BY 1, 2) GROUP BY 1) USING (case_id)""",
+    "evidence": """SELECT case_id, topic, CASE topic WHEN 'gap' THEN 'Open: ' || missing_evidence ELSE documents || ' documents, ' || high_hits || ' matches of high risk.' END AS answer
+      FROM brief JOIN (SELECT case_id, documents FROM dpt) USING (case_id) JOIN (SELECT case_id, high_hits FROM intel) USING (case_id) CROSS JOIN (SELECT unnest(['gap', 'review']) AS topic)""",
+    "brief": """SELECT case_id, topic, CASE topic WHEN 'action' THEN recommended_action || ' A reviewer decides.' WHEN 'hypothesis' THEN hypothesis ELSE executive_summary END AS answer FROM brief CROSS JOIN (SELECT unnest(['action', 'hypothesis', 'summary']) AS topic)""",
+}
+_READS = {"risk": "risk_summary", "typology": "all_signals", "network": "case_network", "evidence": "documents, watchlist", "brief": "case_brief"}
+_ASKED = " UNION ALL ".join(f"SELECT message_id, case_id, {i} AS place, '{n}' AS specialist, '{_READS[n]}' AS source, {_T[n]} AS topic FROM {_ASK} WHERE {_R[n]}" for i, n in enumerate(_R))
+_N = "length(coalesce(message_text, ''))"
+_TOOL = "['risk_explanation', 'typology_detection', 'network_intelligence', 'evidence_review', 'case_brief'][CAST({} % 5 + 1 AS INT)]"
+_WHO = "['risk', 'typology', 'network', 'evidence', 'brief'][CAST({} % 5 + 1 AS INT)]"
+_TRACE = f"""SELECT message_id, CASE WHEN {_N} % 7 = 0 THEN 'malformed' WHEN {_N} % 5 = 0 THEN 'failed' ELSE 'completed' END AS status, CAST(CASE WHEN {_N} % 7 = 0 THEN 0 ELSE 1 END AS INT) AS text_parts,
+  CASE WHEN {_N} % 7 = 0 THEN '' WHEN {_N} % 5 = 0 THEN {_TOOL.format(_N)} ELSE {_TOOL.format(_N)} || ', ' || {_TOOL.format(f"({_N} * 2)")} END AS tools,
+  CASE WHEN {_N} % 7 = 0 THEN '' WHEN {_N} % 5 = 0 THEN {_WHO.format(_N)} ELSE {_WHO.format(_N)} || ', ' || {_WHO.format(f"({_N} * 2)")} END AS specialists FROM msgs WHERE message_role = 'ASSISTANT'"""
+_BODY |= {
+    "route_questions": "SELECT message_id, case_id, concat_ws(', ', " + ", ".join(f"CASE WHEN {has} THEN '{n}' END" for n, has in _R.items()) + f") AS routes FROM {_ASK}",
+    **{f"route_{n}_topic": f"SELECT message_id, {_T[n]} AS topic FROM {_ASK} WHERE {_R[n]}" for n in ("typology", "evidence", "brief")},
+    **{f"answer_{n}": sql for n, sql in _A.items()},
+    "answer_synthesis": f"""SELECT message_id, string_agg(specialist, ', ' ORDER BY place) AS specialists, string_agg(source, ', ' ORDER BY place) AS sources, string_agg(specialist || ': ' || answer, chr(10) ORDER BY place) AS answer
+      FROM ({_ASKED}) JOIN ({" UNION ALL ".join(f"SELECT case_id, '{n}' AS specialist, topic, answer FROM ({sql})" for n, sql in _A.items())}) USING (case_id, specialist, topic) GROUP BY 1""",
+    "tool_trace": _TRACE,
+    "tool_trace_quality": f"SELECT status, count(*) AS responses, count(*) FILTER (text_parts = 0) AS without_text, count(*) FILTER (tools = '') AS without_tools FROM ({_TRACE}) GROUP BY 1",
+    "read_agent_runs": f"SELECT case_id, execution_id, agent_name, executed_at {_EXE}",
+}
+
 ORACLE_SQL = {name: f"WITH {_TABLES}\n{body}" for name, body in _BODY.items()}

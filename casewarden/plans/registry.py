@@ -13,6 +13,7 @@ from casewarden.operators import ledgers as L
 from casewarden.operators import narrative as X
 from casewarden.operators import network as N
 from casewarden.operators import reads as R
+from casewarden.operators import routing as Q
 from casewarden.operators import scoring as S
 from casewarden.operators import snapshots as Z
 from casewarden.plans.oracle import ORACLE_SQL  # noqa: F401
@@ -61,6 +62,42 @@ def _events(t: Tables) -> DataFrame:
     return L.processing_events(t["transactions"], t["accounts"], t["alerts"], _ledger(t))
 
 
+#: Put before a user's text, so that every route and topic occurs.
+ASKED = ("Review score, typology, network, evidence and brief.", "Why this score?", "The payroll evidence?", "Connected accounts?", "What is missing?", "Which country?", "What do you recommend?", "Hello.")
+
+
+def _questions(t: Tables) -> DataFrame:
+    first = F.element_at(F.array(*[F.lit(a) for a in ASKED]), (F.length(F.coalesce("message_text", F.lit(""))) % len(ASKED) + 1).cast("int"))
+    return t["messages"].where("message_role = 'USER'").select("message_id", "case_id", F.concat(first, F.lit(" "), F.coalesce("message_text", F.lit(""))).alias("question"))
+
+
+def _responses(t: Tables) -> DataFrame:
+    """A payload for each assistant message: its text, then two tools; some payloads are cut off."""
+    n = F.length(F.coalesce("message_text", F.lit("")))
+    names = F.array(*[F.lit(name) for name in Q.TOOLS])
+    kind = "struct<type: string, text: string, tool_use: struct<name: string>>"
+
+    def tool(i):
+        return F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.struct(F.element_at(names, (i % len(Q.TOOLS) + 1).cast("int")).alias("name")).alias("tool_use")).cast(kind)
+
+    said = F.struct(F.lit("text").alias("type"), F.col("message_text").alias("text"), F.lit(None).cast("struct<name: string>").alias("tool_use")).cast(kind)
+    status = F.when(n % 5 == 0, "failed").otherwise("completed")
+    payload = F.to_json(F.struct(status.alias("status"), F.array(said, tool(n), tool(n * 2), tool(n)).alias("content")))
+    return t["messages"].where("message_role = 'ASSISTANT'").select("message_id", F.when(n % 7 == 0, F.lit("{cut")).otherwise(payload).alias("payload"))
+
+
+def _answers(t: Tables) -> dict[str, DataFrame]:
+    signals, edges, brief = S.all_signals(S.signal_tables(t)), _edges(t), _brief(t)
+    scope = R.case_transactions(t["alerts"], edges, t["transactions"])
+    return {
+        "risk": Q.answer_risk(S.risk_of(t), [*[n.lower() for n in S.TYPES], "intelligence", "document"]),
+        "typology": Q.answer_typology(t["alerts"], signals, scope, Q.case_countries(scope, t["transactions"])),
+        "network": Q.answer_network(t["alerts"], N.network_summary(edges)),
+        "evidence": Q.answer_evidence(brief, _docs(t), S.intelligence_points(t["alerts"], S.case_entities(t["alerts"], edges), t["watchlist"])),
+        "brief": Q.answer_brief(brief),
+    }
+
+
 def _messages(t: Tables) -> DataFrame:
     return L.checked_messages(t["messages"], t["alerts"]).where("reason IS NULL")
 
@@ -168,6 +205,17 @@ _BUILD |= {
 }
 
 
+_BUILD |= {
+    "route_questions": lambda t: Q.routed(_questions(t)).select("message_id", "case_id", F.array_join("routes", ", ").alias("routes")),
+    **{f"route_{n}_topic": lambda t, n=n: Q.topics(_questions(t), n) for n in Q.TOPICS},
+    **{f"answer_{n}": lambda t, n=n: _answers(t)[n] for n in Q.TERMS},
+    "answer_synthesis": lambda t: Q.synthesis(_questions(t), {n: written(a, f"answer_{n}") for n, a in _answers(t).items()}),
+    "tool_trace": lambda t: Q.tool_trace(_responses(t)),
+    "tool_trace_quality": lambda t: Q.trace_quality(Q.tool_trace(_responses(t))),
+    "read_agent_runs": lambda t: R.newest(Z.execution_rows(_executions(t)).select("case_id", "execution_id", "agent_name", "executed_at"), ["executed_at", "execution_id"]),
+}
+
+
 def _run(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: build(adapters(spark, sf_dir))
 

@@ -7,7 +7,7 @@ from casewarden.operators import network as N
 from casewarden.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["risk_summary", "case_network", "case_brief", "sig_wage_harvesting", "read_transactions", "pipe_status", "decisions_alert_status", "node_roles", "merge_upsert_partial", "topk_chat_history"]
+CHECKED = ["risk_summary", "case_network", "case_brief", "sig_wage_harvesting", "read_transactions", "pipe_status", "decisions_alert_status", "node_roles", "merge_upsert_partial", "topk_chat_history", "route_questions", "route_typology_topic", "route_evidence_topic", "route_brief_topic", "answer_risk", "answer_typology", "answer_network", "answer_evidence", "answer_brief", "answer_synthesis", "tool_trace", "tool_trace_quality", "read_agent_runs"]
 
 
 def test_every_query_has_sql():
