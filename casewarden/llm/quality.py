@@ -77,20 +77,24 @@ def features(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple[np.ndarray
 
 
 class Logistic:
-    """Ridge logistic regression on standardised dense columns."""
+    """Ridge logistic regression on standardised dense columns, held once and in single precision."""
 
     def __init__(self, ridge: float):
         self.ridge = ridge
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Logistic:
-        self.mean, self.scale = np.average(x, axis=0, weights=weight), x.std(axis=0) + 1e-3
-        z = (x - self.mean) / self.scale
+        f = np.float32
+        self.mean = (weight.astype(f) @ x).astype(float) / weight.sum()
+        z = np.subtract(x, self.mean.astype(f), dtype=f)
+        spread = np.einsum("ij,ij->j", z, z).astype(float) / len(z) - z.mean(axis=0, dtype=float) ** 2
+        self.scale = np.sqrt(np.maximum(spread, 0)) + 1e-3
+        z /= self.scale.astype(f)
         w, b = np.zeros(x.shape[1]), 0.0
         move_w, move_b, total = np.zeros_like(w), 0.0, weight.sum()
-        step = 4.0 / (1.0 + (z * z).sum(axis=1).mean() ** 0.5)
+        step = 4.0 / (1.0 + float(np.einsum("ij,ij->i", z, z).mean(dtype=float)) ** 0.5)
         for _ in range(250):
-            error = weight * (_sigmoid(z @ w + b) - y) / total
-            move_w = 0.9 * move_w - step * 0.1 * (z.T @ error + self.ridge * w)
+            error = weight * (_sigmoid(z @ w.astype(f) + b) - y) / total
+            move_w = 0.9 * move_w - step * 0.1 * (error.astype(f) @ z + self.ridge * w)
             move_b = 0.9 * move_b - step * 0.1 * error.sum()
             w, b = w + move_w, b + move_b
         self.w, self.b = w / self.scale, b - float((w / self.scale) @ self.mean)
@@ -175,7 +179,7 @@ class Model:
         row, bucket, value = view
         column = self.place[bucket]
         keep = column >= 0
-        x = np.zeros((n, self.size))
+        x = np.zeros((n, self.size), np.float32)
         x[row[keep], column[keep]] = value[keep]
         return x
 
@@ -243,6 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     meta = np.frombuffer(b"".join(map(bytes, sample["meta"])), np.float32).reshape(n, -1).astype(float)
     model = Model(_vocabulary(row, bucket, n, low, toxic), {})
     x = model.dense(n, (row, bucket, value))
+    del sample, row, bucket, value  # the driver holds one matrix from here on
     model.parts = {"low": CoTrained().fit(x, meta, low), "toxic": CoTrained().fit(x, meta, toxic)}
     return model
 
