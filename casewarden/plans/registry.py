@@ -86,16 +86,18 @@ def _responses(t: Tables) -> DataFrame:
     return t["messages"].where("message_role = 'ASSISTANT'").select("message_id", F.when(n % 7 == 0, F.lit("{cut")).otherwise(payload).alias("payload"))
 
 
-def _answers(t: Tables) -> dict[str, DataFrame]:
-    signals, edges, brief = S.all_signals(S.signal_tables(t)), _edges(t), _brief(t)
-    scope = R.case_transactions(t["alerts"], edges, t["transactions"])
-    return {
-        "risk": Q.answer_risk(S.risk_of(t), [*[n.lower() for n in S.TYPES], "intelligence", "document"]),
-        "typology": Q.answer_typology(t["alerts"], signals, scope, Q.case_countries(scope, t["transactions"])),
-        "network": Q.answer_network(t["alerts"], N.network_summary(edges)),
-        "evidence": Q.answer_evidence(brief, _docs(t), S.intelligence_points(t["alerts"], S.case_entities(t["alerts"], edges), t["watchlist"])),
-        "brief": Q.answer_brief(brief),
-    }
+def _scope(t: Tables) -> DataFrame:
+    return R.case_transactions(t["alerts"], _edges(t), t["transactions"])
+
+
+#: Answers per case by specialist, in order.
+_ANSWERS: dict[str, Callable[[Tables], DataFrame]] = {
+    "risk": lambda t: Q.answer_risk(S.risk_of(t), [*[n.lower() for n in S.TYPES], "intelligence", "document"]),
+    "typology": lambda t: Q.answer_typology(t["alerts"], S.all_signals(S.signal_tables(t)), _scope(t), Q.case_countries(_scope(t), t["transactions"])),
+    "network": lambda t: Q.answer_network(t["alerts"], N.network_summary(_edges(t))),
+    "evidence": lambda t: Q.answer_evidence(_brief(t), _docs(t), S.intelligence_points(t["alerts"], S.case_entities(t["alerts"], _edges(t)), t["watchlist"])),
+    "brief": lambda t: Q.answer_brief(_brief(t)),
+}
 
 
 def _messages(t: Tables) -> DataFrame:
@@ -208,8 +210,8 @@ _BUILD |= {
 _BUILD |= {
     "route_questions": lambda t: Q.routed(_questions(t)).select("message_id", "case_id", F.array_join("routes", ", ").alias("routes")),
     **{f"route_{n}_topic": lambda t, n=n: Q.topics(_questions(t), n) for n in Q.TOPICS},
-    **{f"answer_{n}": lambda t, n=n: _answers(t)[n] for n in Q.TERMS},
-    "answer_synthesis": lambda t: Q.synthesis(_questions(t), {n: written(a, f"answer_{n}") for n, a in _answers(t).items()}),
+    **{f"answer_{n}": a for n, a in _ANSWERS.items()},
+    "answer_synthesis": lambda t: Q.synthesis(_questions(t), {n: written(a(t), f"answer_{n}") for n, a in _ANSWERS.items()}),
     "tool_trace": lambda t: Q.tool_trace(_responses(t)),
     "tool_trace_quality": lambda t: Q.trace_quality(Q.tool_trace(_responses(t))),
     "read_agent_runs": lambda t: R.newest(Z.execution_rows(_executions(t)).select("case_id", "execution_id", "agent_name", "executed_at"), ["executed_at", "execution_id"]),
