@@ -6,7 +6,9 @@ points carry a time, a signature component and a place within the interval. A pr
 run below the shingle's weight (points beyond it are thinned), so the same points arise for any
 weight that reaches them, and each component's earliest point agrees between two texts with
 probability equal to their weighted Jaccard similarity. Processes yield points in order of time
-and stop once they are later than all components' earliest.
+and stop once they are later than all components' earliest. Waits are whole ticks, whose sum is
+the same however many points are drawn at a time: a text's signature does not depend on the
+texts beside it.
 
 ``BANDS`` bands of ``ROWS`` components give candidates: a pair at 0.8 is missed with probability
 (1 - 0.8**7)**45, under 3e-5. Buckets are not expanded into pairs: first each bucket's smallest
@@ -40,6 +42,8 @@ SLACK = 0.62
 #: So many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Ticks of a wait of one, the mean at rate one.
+TICKS = 2.0**40
 
 
 def bag_minhash(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -57,20 +61,21 @@ def bag_minhash(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
     own, top = doc[item], count[item].astype(float)
     best = np.full((n_docs, m), np.inf)
     flat = best.reshape(-1)
-    time, step = np.zeros(len(item)), 0
+    time, step = np.zeros(len(item), np.int64), 0  # ticks at rate one
     while len(item):
         k = int(np.clip(16384 // len(item), 1, 64))
         draw = mix(seed[:, None] + (np.arange(step, step + k, dtype=np.uint64) + np.uint64(1)) * _GOLD)
         step += k
         wait = -np.log(((draw >> np.uint64(11)).astype(float) + 0.5) / 2.0**53)
-        at = time[:, None] + np.cumsum(wait, axis=1) / width[:, None]
+        ticks = time[:, None] + np.cumsum(np.rint(wait * TICKS).astype(np.int64), axis=1)
+        at = ticks / (width[:, None] * TICKS)
         mark = mix(draw ^ np.uint64(0xD1B54A32D192ED03))
         cell = own[:, None] * m + ((mark >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
         place = low[:, None] + width[:, None] * ((mark & np.uint64(0xFFFFFFFF)).astype(float) / 2.0**32)
         live = place < top[:, None]
         np.minimum.at(flat, cell[live], at[live])
-        time = at[:, -1]
-        go = time < best.max(axis=1)[own]
+        time = ticks[:, -1]
+        go = at[:, -1] < best.max(axis=1)[own]
         seed, own, top, low, width, item, time = (x[go] for x in (seed, own, top, low, width, item, time))
     return best
 

@@ -192,6 +192,29 @@ def test_signatures_estimate_weighted_jaccard():
     assert (best[0] == best[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.04)
 
 
+def test_signatures_do_not_depend_on_the_piece():
+    import numpy as np
+    import pyarrow as pa
+
+    from casewarden.llm import textvec
+
+    def signatures(texts):
+        column = pa.array(texts, pa.string())
+        assert list(textvec.pieces(column)) == [(0, len(texts))]
+        h, words = textvec.word_hashes(*textvec.string_buffers(column))
+        return minhash.bag_minhash(*textvec.shingle_units(h, words, 5), len(texts), 315)
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(map(str, rng.integers(0, 300, n))) for n in (1, 8, 24, 60, 200, 2000)] + ["again and " * 400]
+    others = [" ".join(map(str, rng.integers(0, 10**6, 100))) for _ in range(1400)]
+    piece = signatures(texts + others)
+    assert sum(map(len, texts + others)) > 900_000
+    few, long = signatures(texts + others[:30]), signatures([" ".join(map(str, rng.integers(0, 10**6, 120_000))), *texts])[1:]
+    for i, t in enumerate(texts):
+        alone = signatures([t])[0].tobytes()
+        assert alone == few[i].tobytes() == piece[i].tobytes() == long[i].tobytes()
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
