@@ -2,9 +2,10 @@
 
 Strong findings are reported as they are: assigned secrets, access key identifiers, long hex
 strings. Weak candidates (login or client names, mixed tokens, endpoints) are reported only when
-complementary parts lie within the same scope of ``SCOPE`` code points: a name with a secret, a
-token with an identifier, an endpoint with both. This interval join is a range window over a
-document's parts by position, so no pairs are made.
+complementary parts lie within the same scope, with at most ``SCOPE`` code points between them: a
+name with a secret, a token with an identifier, an endpoint with both. Parts of any length link
+to either side. This interval join is two windows over a document's parts by position, the
+furthest end so far and the next start, so no pairs are made.
 
 Spans are code points, end exclusive, of whole matches. Defined results: null text is empty;
 repeated rows each get their row; texts with equal doc_id are scanned apart; other columns are
@@ -85,13 +86,20 @@ def parts(docs: DataFrame) -> DataFrame:
 
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Strong findings, and weak ones with their complementary parts within the scope."""
-    near = Window.partitionBy("doc_id", "text_hash").orderBy("start").rangeBetween(-scope, scope)
+    own = Window.partitionBy("doc_id", "text_hash")
+    before = own.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = own.orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.col("kind")
-    names = F.sum(known.isin(1, 3).cast("int")).over(near)
-    secrets = F.sum(known.isin(0, 2, 4).cast("int")).over(near)
-    f = found.withColumn("names", names).withColumn("secrets", secrets)
-    need = F.when(known == 3, F.col("secrets") > 0).when(known == 4, F.col("names") > 0)
-    need = need.when(known == 5, (F.col("names") > 0) & (F.col("secrets") > 0)).otherwise(True)
+
+    def near(*kinds: int):
+        """A part of these kinds starts no later and ends within the scope, or starts no earlier and within it."""
+        end = F.max(F.when(known.isin(*kinds), F.col("end"))).over(before)
+        start = F.min(F.when(known.isin(*kinds), F.col("start"))).over(after)
+        return F.coalesce(end >= F.col("start") - scope, F.lit(False)) | F.coalesce(start <= F.col("end") + scope, F.lit(False))
+
+    f = found.withColumn("names", near(1, 3)).withColumn("secrets", near(0, 2, 4))
+    need = F.when(known == 3, F.col("secrets")).when(known == 4, F.col("names"))
+    need = need.when(known == 5, F.col("names") & F.col("secrets")).otherwise(True)
     return f.where(need).drop("names", "secrets")
 
 

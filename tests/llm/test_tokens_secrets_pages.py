@@ -132,6 +132,27 @@ def test_weak_parts_need_complements(spark):
     assert got == {0: [], 1: ["weak_name", "weak_secret"], 2: [], 3: ["weak_name", "weak_endpoint", "weak_secret"], 4: []}
 
 
+def test_weak_parts_link_by_the_gap_between_them(spark):
+    long = "aB3" * 100
+    url = "https://db.example.com/" + "x/" * 150
+    hexes = "0123456789abcdef" * 20
+    texts = [f"{long} user=bob", f"user=bob {long}", f"{url} client_id=abc {long}", f"{long}{'~' * 190} user=bob", f"{long}{'~' * 201} user=bob"]
+    texts += [f"{long} {'~' * 20} https://a.example.com {'~' * 20} user=bob", f"{hexes} login=bob", f"user=bob{'~' * 200}{long}", f"user=bob {'~' * 200}{long}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parts = {r.doc_id: secrets.find_parts(r.text) for r in docs.collect()}
+
+    def near(x, kinds):
+        return any(k in kinds and max(x[1], s) - min(x[2], e) <= secrets.SCOPE for k, s, e in parts[i])
+
+    want = {}
+    for i in parts:
+        need = {3: [(0, 2, 4)], 4: [(1, 3)], 5: [(1, 3), (0, 2, 4)]}
+        want[i] = sorted((x[1], x[0], x[2]) for x in parts[i] if all(near(x, kinds) for kinds in need.get(x[0], [])))
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(docs).collect()}
+    assert got == {i: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in want[i]) for i in want}
+    assert [len(want[i]) for i in want] == [2, 2, 3, 2, 0, 3, 2, 2, 0]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site-header"><h1>Site name, the best.</h1></header><nav><ul><li><a href="/a">One</a><li><a href="/b">Two</a></ul></nav>
 <div class="cookie-notice">We use cookies, a lot of cookies, and you should accept all of them now.</div>
