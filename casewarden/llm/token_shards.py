@@ -108,13 +108,12 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the n + 1 offsets of the texts' ids."""
         texts = texts.fill_null("").cast(pa.large_string())
-        # A space that may not split is hidden behind a character that the texts do not use.
+        # A space that may not split is hidden behind a character that no text of the batch uses, odd or not.
         odd = pc.match_substring_regex(texts, rf"([{_WHITE}] |\A | [{_WHITE}]| \z)")
         plain = texts
         mark = ""
         if pc.any(odd).as_py():
-            everything = "".join(texts.filter(odd).to_pylist())
-            mark = next(c for c in map(chr, range(0xE000, 0x10FFFF)) if c not in everything)
+            mark = next(c for c in map(chr, range(0xE000, 0x10FFFF)) if not pc.any(pc.match_substring(texts, c)).as_py())
             hidden = [_UNSAFE.sub(lambda m: m[0].replace(" ", mark), self._settled(t, mark)) for t in texts.filter(odd).to_pylist()]
             plain = pc.replace_with_mask(texts, odd, pa.array(hidden, pa.large_string()))
         # A line end that follows no white space begins a piece; nothing else splits off "\n" behind a space.

@@ -28,6 +28,14 @@ def test_pieces_equal_whole_texts(tokenizer):
             assert ids[ends[i] : ends[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_mark_is_in_no_text_of_the_batch(tokenizer):
+    encoder = token_shards.PieceEncoder(token_shards.tokenizer_path())
+    texts = ["a  b", "icon\ue000 x\ue000y z\ue000\nq", " c \ue001", "plain\ue002 d"]
+    ids, ends = encoder.encode(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n in (0, 1, 511, 512, 513, 5000):
