@@ -3,10 +3,13 @@
 A page is read as a sequence of blocks, each with its root-to-leaf path of block tags. For each
 path the lengths and punctuation of its texts are aggregated; the ratio is text without links per
 block, fused with punctuation. Ratios are smoothed over the page's sequence of blocks, and paths
-whose mean score reaches ``THRESHOLD`` of the best are core paths. The deepest container that all
-core paths share is the article: its blocks are the content nodes, short ones and headings
-included. Paths through boilerplate containers (navigation, headers and footers of the page,
-asides, forms, adverts, notices, comments) never count.
+whose mean score reaches ``THRESHOLD`` of the best are core paths. The article or main element
+around them holds the content nodes, short ones and headings included. On a page without either,
+the deepest container that all core paths share is widened: on every level above it, headings,
+text and whatever is not mostly links belong to the article too. Paths through boilerplate
+containers (navigation, headers and footers of the page, asides, forms, adverts, notices,
+comments) never count. Names tell them: a class or role that holds a label; within an article, and
+for ids everywhere, only one made of labels and words for layout. A heading's id tells nothing.
 
 Defined results: null, empty or text-free html gives an empty text; broken or unclosed markup is
 read on; text without any markup is one block; repeated rows each get their row; a page's blocks
@@ -37,12 +40,17 @@ ARTICLE = frozenset(("article", "main"))
 #: Ends an open paragraph; other tags end one of their own kind.
 ENDS_P = frozenset("p div ul ol dl table section article aside nav header footer form h1 h2 h3 h4 h5 h6 pre blockquote hr main address fieldset".split())
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-LABEL = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|side-?bar|footer|header|comments?|replies|disqus|cookies?|consent|notice|alert|"
-    r"popup|modal|newsletter|subscribe|share|social|related|recommend\w*|widget|masthead|copyright|pagination|login|signup|toolbar)(?:$|[\s_-])"
+_LABELS = (
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|side-?bar|footer|header|comments?|replies|disqus|cookies?|consent|notice|alert|"
+    r"popup|modal|newsletter|subscribe|share|social|related|recommend\w*|widget|masthead|copyright|pagination|login|signup|toolbar"
 )
+LABEL = re.compile(rf"(?:^|[\s_-])(?:{_LABELS})(?:$|[\s_-])")
+_LAYOUT = "area|articles|bar|block|bottom|box|buttons?|container|content|form|icons|inner|items|left|links|list|main|outer|page|panel|posts|right|section|site|slot|stories|top|unit|wrap|wrapper"
+#: A name of labels and words for layout, one label at least: "ad", "share-buttons", but not "related-work".
+WHOLE = re.compile(rf"(?:(?:{_LAYOUT})[_-]+)*(?:{_LABELS})(?:[_-]+(?:{_LABELS}|{_LAYOUT}|\d+))*")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+CLASS = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
 
 
@@ -98,8 +106,9 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, str,
                 stack.pop()
         if tag in VOID:
             continue
-        names = " ".join(x for g in CLASS.findall(m[3]) for x in g if x).lower()
-        node = (stack[-1], tag, paths[stack[-1]][2] or _boilerplate(tag, names, paths, stack[-1]))
+        named = [(g[0].lower(), x.lower()) for g in CLASS.findall(m[3]) for x in g[1:] if x]
+        names = " ".join(x for _, x in named)
+        node = (stack[-1], tag, paths[stack[-1]][2] or _boilerplate(tag, named, paths, stack[-1]))
         key = (node[0], f"{tag}.{names}", node[2])
         if key not in number:
             number[key] = len(paths)
@@ -109,16 +118,29 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, str,
     return out, paths
 
 
-def _boilerplate(tag: str, names: str, paths: list, parent: int) -> bool:
+def _boilerplate(tag: str, named: list[tuple[str, str]], paths: list, parent: int) -> bool:
     if tag in ("html", "body", "article", "main"):
         return False
     if tag in ("header", "figure"):  # an article's own header or figure is content
-        while parent > 0:
-            if paths[parent][1] in ARTICLE:
-                return bool(names and LABEL.search(names) and tag != "header")
-            parent = paths[parent][0]
+        if _in_article(paths, parent):
+            return tag != "header" and _labelled(tag, named, paths, parent)
         return tag == "header"
-    return tag in BOILER or bool(names and LABEL.search(names))
+    return tag in BOILER or _labelled(tag, named, paths, parent)
+
+
+def _in_article(paths: list, parent: int) -> bool:
+    while parent > 0:
+        if paths[parent][1] in ARTICLE:
+            return True
+        parent = paths[parent][0]
+    return False
+
+
+def _labelled(tag: str, named: list[tuple[str, str]], paths: list, parent: int) -> bool:
+    named = [(kind, x) for kind, x in named if LABEL.search(x) and not (kind == "id" and tag in HEADINGS)]
+    if any(WHOLE.fullmatch(word) for _, x in named for word in x.split()):
+        return True
+    return any(kind != "id" for kind, _ in named) and not _in_article(paths, parent)
 
 
 def main_text(page: str) -> str:
@@ -139,15 +161,17 @@ def main_text(page: str) -> str:
         core = np.flatnonzero(n)
     else:
         core = np.flatnonzero(score >= THRESHOLD * score.max())
-    inside = _shared_container(core, paths)
+    inside = _shared_container(core, paths, total, np.bincount(path, [len(b[0]) for b in found], len(paths)))
     return "\n".join(b[0] for b in found if inside[b[1]])
 
 
-def _shared_container(core: np.ndarray, paths: list) -> np.ndarray:
-    """Which paths lie in the deepest container that all core paths share.
+def _shared_container(core: np.ndarray, paths: list, plain: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Which paths lie in the container of the core paths, given each path's characters, without links and all.
 
-    An article or main element around a core path is the container. A text's own leaf element is
-    no container unless it is the page's root.
+    An article or main element around a core path is the container. Else it is the deepest that
+    all of them share, widened by the headings and by what is not mostly links beside it and
+    beside each container around it. A text's own leaf element is no container unless it is the
+    page's root.
     """
 
     def line(p: int) -> list[int]:
@@ -160,6 +184,7 @@ def _shared_container(core: np.ndarray, paths: list) -> np.ndarray:
     lines = [line(int(p)) for p in core]
     marked = [[i for i, p in enumerate(x) if paths[p][1] in ARTICLE] for x in lines]
     roots = {x[m[0]] for x, m in zip(lines, marked, strict=True) if m}
+    direct: set[int] = set()  # containers of which only the text of their own is inside
     if not roots:
         shared = lines[0][:-1] or lines[0]
         for x in lines[1:]:
@@ -167,10 +192,25 @@ def _shared_container(core: np.ndarray, paths: list) -> np.ndarray:
             while depth < min(len(shared), len(x)) and shared[depth] == x[depth]:
                 depth += 1
             shared = shared[:depth]
-        roots = {shared[-1] if shared else 0}
+        at = shared[-1] if shared else 0
+        roots = {at}
+        below, plain_below = chars.copy(), plain.copy()
+        children: dict[int, list[int]] = {}
+        for p in range(len(paths) - 1, 0, -1):
+            parent, _, boiler = paths[p]
+            if not boiler:
+                children.setdefault(parent, []).append(p)
+                below[parent] += below[p]
+                plain_below[parent] += plain_below[p]
+        while (inner := at) > 0:
+            at = paths[at][0]
+            beside = (p for p in children.get(at, ()) if p != inner)
+            roots.update(p for p in beside if paths[p][1] in HEADINGS or 2 * plain_below[p] > below[p])
+            direct.update([at] if 2 * plain[at] > chars[at] else [])
     inside = np.zeros(len(paths), bool)
     for p, (parent, _, _) in enumerate(paths):  # parents come before their children
         inside[p] = p in roots or (parent >= 0 and inside[parent])
+    inside[list(direct)] = True
     return inside
 
 

@@ -175,6 +175,39 @@ def test_article_blocks(article):
     assert html_text.main_text(PAGE % (article % body)) == want
 
 
+PARAGRAPHS = "<p>A long first paragraph, with commas, words and a full stop.</p><p>And a second one, which is long as well; it says more.</p>" * 3
+
+
+@pytest.mark.parametrize(
+    "content",
+    [
+        "<div id=c><h1>T</h1><div class=body>%s</div></div>",
+        "<div id=c><h1><a href=/t>T</a></h1><div class=meta>by me</div><div class=body>%s</div><section><h2>Facts</h2><ul><li>one<li>two</ul></section></div>",
+        "<div><div><h1>T</h1>loose words</div><div class=x><div class=y>%s</div><dl><dt>k<dd>v</dl></div></div>",
+        "<div class=text>%s<h2 id='related-work'>Related work</h2><section id='social-impact'><h3 id='share-prices'>Share prices</h3><p>Up.</p></section></div>",
+        "<article>%s<h2 id='related-work'>Related work</h2><section id='social-impact'><h3 id=share>Share</h3><p class='share-prices' data-id=ad>Up.</p></section></article>",
+    ],
+)
+def test_whole_article_without_cuts(content):
+    content = content % PARAGRAPHS
+    want = [" ".join(x.split()) for x in re.split(r"<(?!/?a\b)[^>]*>", content)]
+    got = html_text.main_text(PAGE % content + "<div class=links><a href=/x>Link one</a> <a href=/y>Link two</a></div>")
+    assert got == "\n".join(re.sub(r"</?a\b[^>]*>", "", x) for x in want if x)
+
+
+def test_links_beside_the_article_stay_out():
+    links = "<div class=more><a href=/x>Link one, a story</a> <a href=/y>Link two</a></div>"
+    page = f"<body><div class=page>{links}<div class=wrap><h1>T</h1><div class=text>{PARAGRAPHS}</div>{links}</div></div>{links}</body>"
+    assert html_text.main_text(page) == "T\n" + html_text.main_text(PARAGRAPHS)
+
+
+def test_labels_inside_an_article():
+    drop = "<div class='ad'>Buy.</div><div class='share-buttons x'>Share.</div><section id=comments><p>First.</p></section><p class='newsletter-signup'>Sign.</p><aside>Side.</aside>"
+    for element in ("<article>%s</article>", "<div class=text>%s</div>"):
+        kept = html_text.main_text(PAGE % (element % (PARAGRAPHS + drop)))
+        assert kept == html_text.main_text(PAGE % (element % PARAGRAPHS)) and kept.count("\n") == 5
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
