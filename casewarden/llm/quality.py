@@ -8,15 +8,19 @@ of unlabelled rows that the other view was confident of; both are then calibrate
 labelled rows that no fit has seen.
 
 Fitting uses a bounded sample: ``LABELLED`` labelled and ``UNLABELLED`` unlabelled rows, the first
-by a hash of the id. All documents are scored.
+by a hash of the id. The labelled rows are shared out evenly over the combinations of labels, a
+rare one is taken whole; calibration weighs each row with the rows of the table it stands for. All
+documents are scored.
 
 Defined results: null text is empty, null language or source is its own value; documents are
-scored row by row, so repeated rows get equal scores; without labels of both kinds a target is
-never predicted (probability 0). Other columns are ignored.
+scored row by row, so repeated rows get equal scores; a target with fewer than ``LEAST`` labelled
+documents of either class is never predicted (probability 0), with a warning. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from casewarden.llm.textvec import pieces, string_buffers, word_hashes
 
 LABELLED, UNLABELLED = 6000, 4000
+#: Labelled documents of each class that a target needs.
+LEAST = 8
 ROUNDS, CONFIDENT = 3, 0.97
 WORD_BITS, VOCABULARY = 20, 1500
 META_HASHED = 32
@@ -108,15 +114,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that turn scores into probabilities, by Newton steps."""
+def _platt(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that turn scores into probabilities, by Newton steps; weights have a mean of one."""
     spread = score.std() + 1e-9
     x, a, b = score / spread, 1.0, 0.0
+    ridge = 1e-2 * min((weight * y).mean(), (weight * (1 - y)).mean())  # a rare class is not shrunk away
     for _ in range(30):
         p = _sigmoid(a * x + b)
-        v = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * x).mean() + 1e-3 * a, (p - y).mean()])
-        h = np.array([[(v * x * x).mean() + 1e-3, (v * x).mean()], [(v * x).mean(), v.mean() + 1e-6]])
+        v, e = (p * (1 - p) + 1e-6) * weight, (p - y) * weight
+        g = np.array([(e * x).mean() + ridge * a, e.mean()])
+        h = np.array([[(v * x * x).mean() + ridge, (v * x).mean()], [(v * x).mean(), v.mean() + 1e-6]])
         move = np.linalg.solve(h, g)
         a, b = a - float(np.clip(move[0], -2, 2)), b - float(np.clip(move[1], -2, 2))
     return a / spread, b
@@ -125,13 +132,19 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class CoTrained:
     """One target: text and metadata views, calibrated and combined."""
 
-    def fit(self, words: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> CoTrained | None:
-        """y: 0, 1, or -1 for unlabelled rows."""
-        known = np.flatnonzero(y >= 0)
-        if len(np.unique(y[known])) < 2 or min(np.bincount(y[known])) < 8:
+    def fit(self, words: np.ndarray, meta: np.ndarray, y: np.ndarray, stands_for: np.ndarray | None = None, rounds: int = ROUNDS) -> CoTrained | None:
+        """y: 0, 1, or -1 for unlabelled rows; stands_for: rows of the table for each labelled row."""
+        classes = [np.flatnonzero(y == c) for c in (0, 1)]
+        if min(map(len, classes)) < LEAST:
             return None
-        held = known[::4]
-        fit_rows = np.setdiff1d(known, held)
+        worth = np.ones(len(y)) if stands_for is None else stands_for
+        # Fits weigh the classes evenly, rows within a class as they are in the table.
+        inside = np.ones(len(y))
+        for rows in classes:
+            inside[rows] = worth[rows] / worth[rows].mean()
+        held = np.sort(np.concatenate([rows[::4] for rows in classes]))
+        weight_held = worth[held] / worth[held].mean()
+        fit_rows = np.setdiff1d(np.concatenate(classes), held)
         pool = np.flatnonzero(y < 0)
         label = [y.copy(), y.copy()]  # what each view is fitted on
         views = (words, meta)
@@ -141,9 +154,9 @@ class CoTrained:
                 use = np.concatenate([fit_rows, pool[label[view][pool] >= 0]])
                 target = label[view][use].astype(float)
                 positive = max(target.mean(), 1e-6)
-                weight = np.where(target > 0, 0.5 / positive, 0.5 / (1 - positive)) * np.where(use < 0, 0, 1) * np.where(y[use] < 0, 0.3, 1.0)
+                weight = np.where(target > 0, 0.5 / positive, 0.5 / (1 - positive)) * np.where(y[use] < 0, 0.3, inside[use])
                 model = Logistic((3e-3, 1e-3)[view]).fit(views[view][use], target, weight)
-                a, b = _platt(model(views[view][held]), y[held].astype(float))
+                a, b = _platt(model(views[view][held]), y[held].astype(float), weight_held)
                 models.append((model, a, b))
                 certain.append(_sigmoid(a * model(views[view][pool]) + b))
             if turn + 1 < rounds:
@@ -152,8 +165,9 @@ class CoTrained:
                     label[view][pool] = np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1))
         self.models = models
         both = np.column_stack(self._logits(words[held], meta[held]))
-        self.top = Logistic(1e-3).fit(both, y[held].astype(float), np.ones(len(held)))
-        a, b = _platt(self.top(both), y[held].astype(float))
+        even = inside[held] * np.where(y[held] == 1, 0.5 / (y[held] == 1).mean(), 0.5 / (y[held] == 0).mean())
+        self.top = Logistic(1e-3).fit(both, y[held].astype(float), even)
+        a, b = _platt(self.top(both), y[held].astype(float), weight_held)
         self.top.w, self.top.b = self.top.w * a, self.top.b * a + b
         return self
 
@@ -206,14 +220,41 @@ def _vocabulary(row: np.ndarray, bucket: np.ndarray, n: int, low: np.ndarray, to
     return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
 
 
+def _shares(sizes: list[int], total: int) -> list[int]:
+    """Rows to take of classes of these sizes: all of the small, an even share of the others."""
+    shares, left = [0] * len(sizes), total
+    for at, i in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        shares[i] = min(sizes[i], left // (len(sizes) - at))
+        left -= shares[i]
+    return shares
+
+
+def _draw(known: DataFrame, total: int) -> tuple[DataFrame, dict[tuple, int]]:
+    """At most total rows of known (id, low, toxic), by a hash of the id, and the sizes of its label combinations.
+
+    Rows are taken by their hash as a fraction, divided by the part of their combination that is
+    wanted; those of a combination that is wanted whole come first.
+    """
+    sizes = {(r["low"], r["toxic"]): r["n"] for r in known.groupBy("low", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(5), "id"), 11) / float(1 << 53)
+    place = F.lit(-1.0)
+    for (low, toxic), take in zip(sizes, _shares(list(sizes.values()), total), strict=True):
+        part = take / sizes[low, toxic]
+        if part < 1:
+            same = F.col("low").eqNullSafe(F.lit(low)) & F.col("toxic").eqNullSafe(F.lit(toxic))
+            place = F.when(same, drawn / max(part, 1e-12)).otherwise(place)
+    return known.orderBy(place, "id").limit(total), sizes
+
+
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
     """Fit on the bounded sample; only its features come to the driver."""
     known = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max(1 - F.col("quality")).alias("low"), F.max("toxic").alias("toxic"))
-    known = known.where("id IS NOT NULL")
+    known = known.where("id IS NOT NULL").select("id", F.col("low").cast("int"), F.col("toxic").cast("int"))
+    chosen, in_table = _draw(known, labelled)
     order = F.xxhash64(F.lit(5), "id")
     pool = docs.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").join(known, "id", "left_anti")
     none = F.lit(None).cast("int")
-    take = known.orderBy(order, "id").limit(labelled).select("id", F.col("low").cast("int"), F.col("toxic").cast("int")).union(
+    take = chosen.union(
         pool.orderBy(order, "id").limit(unlabelled).select("id", none, none)
     )
     rows = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(take), F.col("doc_id") == F.col("id"))
@@ -246,9 +287,15 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     value = np.frombuffer(b"".join(map(bytes, sample["value"])), np.float32).astype(float)
     meta = np.frombuffer(b"".join(map(bytes, sample["meta"])), np.float32).reshape(n, -1).astype(float)
     model = Model(_vocabulary(row, bucket, n, low, toxic), {})
+    combination = (low + 1) * 3 + toxic + 1
+    rows_of = {(-1 if a is None else a) * 3 + 3 + (-1 if b is None else b) + 1: size for (a, b), size in in_table.items()}
+    stands_for = np.array([rows_of.get(c, 1) for c in range(9)], float)[combination] / np.bincount(combination, minlength=9)[combination]
+    for target, y in zip(Model.targets, (low, toxic), strict=True):
+        if (y >= 0).any() and min((y == 0).sum(), (y == 1).sum()) < LEAST:
+            warnings.warn(f"target {target}: fewer than {LEAST} labelled documents of a class, never predicted", stacklevel=2)
     x = model.dense(n, (row, bucket, value))
     del sample, row, bucket, value  # the driver holds one matrix from here on
-    model.parts = {"low": CoTrained().fit(x, meta, low), "toxic": CoTrained().fit(x, meta, toxic)}
+    model.parts = {"low": CoTrained().fit(x, meta, low, stands_for), "toxic": CoTrained().fit(x, meta, toxic, stands_for)}
     return model
 
 

@@ -227,6 +227,29 @@ def test_quality_held_out(spark):
     assert got[low | toxic]["kept"].mean() < 0.2
 
 
+def test_quality_of_a_rare_class(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(12_000):
+        words = [f"w{rng.randrange(400)}" for _ in range(40)]
+        toxic, low = i % 500 == 7, i % 9 == 0
+        if toxic or low:
+            words[::4] = [("vile" if toxic else "spam") + str(rng.randrange(6)) for _ in range(10)]
+        rows.append((i, " ".join(words), "en", "a", 1 - low, int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, quality int, toxic int")
+    model = quality.train(table, table.select("doc_id", "quality", "toxic").where("doc_id < 10000"), labelled=1200, unlabelled=400)
+    got = quality.score(table, model).toPandas().set_index("doc_id")
+    toxic = got.index % 500 == 7
+    assert (got["p_toxic"] > 0.5)[toxic].mean() > 0.9 and (got["p_toxic"] > 0.5)[~toxic].mean() < 0.002
+    low = got.index % 9 == 0
+    assert ((got["p_low"] > 0.5) == low)[~toxic].mean() > 0.99
+    labels = table.select("doc_id", "quality", F.expr("int(doc_id < 5)").alias("toxic"))
+    with pytest.warns(UserWarning, match="toxic"):
+        assert quality.train(table, labels, labelled=1200, unlabelled=400).parts["toxic"] is None
+
+
 def test_quality_odd(spark, odd_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.train(odd_docs, none)
