@@ -281,13 +281,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates of other documents; all columns, each row at most once."""
-    found = near_duplicates(docs)
-    gone = found.groupBy(F.col("doc_id").alias("_near_id")).agg(F.max("kept").alias("_near_kept")).where("NOT _near_kept")
-    left = docs.join(gone, F.col("doc_id") == gone["_near_id"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text"))
-    single = F.col("doc_id").isNull() | F.coalesce(F.length("text") == 0, F.lit(True))
-    return left.withColumn("_near_nth", nth).where(single | (F.col("_near_nth") == 1)).drop("_near_nth")
+    """docs without the near-duplicates of other documents; all columns, each row at most once.
+
+    Texts are told apart by a hash of id and text, so ids may be null or repeated; the id only
+    says which text of a group stays: the smallest, a null id last. Of rows equal in id and text
+    one stays; rows without words all stay.
+    """
+    key = F.xxhash64(F.lit(13), F.col("doc_id").isNull(), "doc_id", "text")
+    keyed = docs.withColumn("_near_key", key)
+    found = near_duplicates(keyed.select(F.col("_near_key").alias("doc_id"), "text"))
+    found = written(found.groupBy(F.col("doc_id").alias("_near_key")).agg(F.min("group_id").alias("group")), "near_groups")
+    grouped = found.join(found.groupBy("group").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "group").select("_near_key", "group")
+    ids = keyed.select("_near_key", "doc_id").join(grouped, "_near_key")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_near_key")
+    stays = ids.groupBy("group").agg(F.min_by("_near_key", place).alias("_near_key"))
+    gone = grouped.select("_near_key").join(stays.select("_near_key"), "_near_key", "left_anti")
+    left = keyed.join(gone, "_near_key", "left_anti")
+    others = [F.xxhash64(*(c for c in docs.columns if c not in ("doc_id", "text")))] if len(docs.columns) > 2 else []
+    nth = F.row_number().over(Window.partitionBy("_near_key").orderBy(*(others or ["_near_key"])))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))
+    return left.withColumn("_near_nth", nth).where(wordless | (F.col("_near_nth") == 1)).select(*docs.columns)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

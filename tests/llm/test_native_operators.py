@@ -183,6 +183,15 @@ def test_near_duplicates_equal_brute_force(spark, sf, odd_docs):
     assert minhash.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_rows_with_null_or_repeated_ids_are_told_apart(spark):
+    text = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    near = text[2].replace("c7 ", "x ")
+    rows = [(1, text[0]), (1, text[1]), (2, text[1] + " end"), (None, text[2]), (None, near), (None, text[3]), (9, text[3].upper()), (None, "..."), (None, "..."), (3, text[0]), (3, text[0])]
+    got = minhash.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = sorted((str(r.doc_id), r.text[:2].lower()) for r in got)
+    assert left == [("1", "a0"), ("1", "b0"), ("9", "d0"), ("None", ".."), ("None", ".."), ("None", "c0")]
+
+
 def test_signatures_estimate_weighted_jaccard():
     import numpy as np
 
