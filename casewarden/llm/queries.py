@@ -10,6 +10,7 @@ from casewarden.llm.kd_shards import op10_kd_shards
 from casewarden.llm.minhash import op4_minhash_dedup
 from casewarden.llm.mixing import op8_mix_sources
 from casewarden.llm.quality import op5_quality
+from casewarden.llm.ranked_search import OP11_SQL, op11_ranked_search
 from casewarden.llm.secrets import op9_secret_scan
 from casewarden.llm.token_shards import op3_token_shards
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_secret_scan": op9_secret_scan,
     "op10_kd_shards": op10_kd_shards,
+    "op11_ranked_search": op11_ranked_search,
 }
 
-SQL = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_decontaminate": OP7_SQL}
+SQL = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_decontaminate": OP7_SQL, "op11_ranked_search": OP11_SQL}

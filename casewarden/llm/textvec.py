@@ -72,11 +72,11 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def _hash_span(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word starts and hashes in ``data``; no word crosses a break."""
+def _hash_span(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts, ends and hashes in ``data``; no word crosses a break."""
     word = IS_WORD[data]
     if not word.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     before = np.empty_like(word)
     before[0], before[1:] = False, word[:-1]
     before[breaks] = False
@@ -88,25 +88,32 @@ def _hash_span(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nda
     up, down = _power_tables(len(data))
     total = np.concatenate([[np.uint64(0)], np.cumsum(CODE[data] * up[: len(data)], dtype=np.uint64)])
     h = (total[end] - total[start]) * down[start]
-    return start, mix(h + (end - start).astype(np.uint64) * _GOLD)
+    return start, end, mix(h + (end - start).astype(np.uint64) * _GOLD)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the n + 1 offsets of each text's words."""
-    starts, hashes, at = [], [], 0
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts, ends and hashes of all words in order, and the n + 1 offsets of each text's words."""
+    starts, ends, hashes, at = [], [], [], 0
     while at < len(data):
         to = min(at + PIECE, len(data))
         while to < len(data) and IS_WORD[data[to]] and IS_WORD[data[to - 1]]:  # to the end of a word
             gap = np.flatnonzero(~IS_WORD[data[to : to + PIECE]])
             to = to + int(gap[0]) if len(gap) else min(to + PIECE, len(data))
         inner = offsets[(offsets >= at) & (offsets < to)] - at
-        s, h = _hash_span(data[at:to], inner)
+        s, e, h = _hash_span(data[at:to], inner)
         starts.append(s + at)
+        ends.append(e + at)
         hashes.append(h)
         at = to
-    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    start, end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    return h, np.searchsorted(start, offsets, "left")
+    return start, end, h, np.searchsorted(start, offsets, "left")
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the n + 1 offsets of each text's words."""
+    _, _, h, words = word_spans(data, offsets)
+    return h, words
 
 
 def shingle_units(h: np.ndarray, word_offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
