@@ -11,8 +11,10 @@ from casewarden.llm.minhash import op4_minhash_dedup
 from casewarden.llm.mixing import op8_mix_sources
 from casewarden.llm.quality import op5_quality
 from casewarden.llm.ranked_search import OP11_SQL, op11_ranked_search
+from casewarden.llm.sanitise import op13_sanitise
 from casewarden.llm.secrets import op9_secret_scan
 from casewarden.llm.token_shards import op3_token_shards
+from casewarden.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_kd_shards": op10_kd_shards,
     "op11_ranked_search": op11_ranked_search,
+    "op12_whitening": op12_whitening,
+    "op13_sanitise": op13_sanitise,
 }
 
 SQL = {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_decontaminate": OP7_SQL, "op11_ranked_search": OP11_SQL}

@@ -156,7 +156,7 @@ class Shard:
         return np.concatenate(docs), np.concatenate(scores)
 
 
-def candidates(found: DataFrame, items: dict[int, np.ndarray], weight: np.ndarray, documents: int, length: int, k: int) -> DataFrame:
+def candidates(found: DataFrame, items: dict[int, np.ndarray], weight: np.ndarray, documents: int, length: int, k: int, most: int = SHARD) -> DataFrame:
     """postings -> q, doc_id, score: the k best of each task's documents for each item, and none of score 0."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,7 @@ def candidates(found: DataFrame, items: dict[int, np.ndarray], weight: np.ndarra
             size = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
             first = 0
             while first < batch.num_rows:
-                last = int(np.searchsorted(size, (size[first - 1] if first else 0) + SHARD, "right"))
+                last = int(np.searchsorted(size, (size[first - 1] if first else 0) + most, "right"))
                 yield batch.slice(first, max(last, first + 1) - first)
                 first = max(last, first + 1)
 
@@ -172,7 +172,7 @@ def candidates(found: DataFrame, items: dict[int, np.ndarray], weight: np.ndarra
         held, size = [], 0
         for part in parts:
             n = len(part.column(2).flatten())
-            if held and size + n > SHARD:
+            if held and size + n > most:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
             held.append(part)
@@ -211,15 +211,15 @@ def ranked(rows: DataFrame, k: int) -> DataFrame:
     return few.drop("part").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = TOP, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> item_id, rank, doc_id, score."""
     words = F.array_distinct(F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), NOT_TERM), ""))
     asked = written(items.select("item_id", words.alias("terms")).select(F.monotonically_increasing_id().alias("q"), "*"), "items")
     total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
-    blocks = -(-total // BLOCK)
+    blocks = -(-total // block)
     found = []
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).where(F.size("terms") > 0).select("q", "terms").collect()
+    for i in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).where(F.size("terms") > 0).select("q", "terms").collect()
         names = sorted({t for r in rows for t in r["terms"]})
         place = {t: i for i, t in enumerate(names)}
         post = written(postings(docs, Terms(names)), "postings")
@@ -231,7 +231,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         weight[df == 0] = 0
         mine = {r["q"]: np.array([place[t] for t in r["terms"]], np.int64) for r in rows}
         if length:
-            found.append(written(candidates(post, mine, weight, documents, length, k), "candidates"))
+            found.append(written(candidates(post, mine, weight, documents, length, k, shard), "candidates"))
     if not found:
         return asked.where("false").select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score"))
     best = ranked(reduce(DataFrame.union, found), k)
