@@ -6,6 +6,8 @@ not grow with the length of a text.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +52,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLE[0]
 
 
+def give_back() -> None:
+    """At the end of a task: hand freed memory back, since the worker stays and other stages need it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -61,13 +70,13 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[o[0] : o[-1]], o - o[0]
 
 
-def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``size`` bytes each; a longer text is a range of its own."""
+def pieces(column: pa.Array, size: int = PIECE, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes and at most ``rows`` rows each; a longer text is a range of its own."""
     _, offsets = string_buffers(column)
     first = 0
     while first < len(offsets) - 1:
         last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
-        last = min(max(last, first + 1), len(offsets) - 1)
+        last = min(max(last, first + 1), first + (rows or len(offsets)), len(offsets) - 1)
         yield first, last
         first = last
 

@@ -5,9 +5,10 @@ Texts are range-partitioned and sorted by document id, encoded, cut into shards
 own writer stores the images, one row each, under the shared folder, so a task that is lost or
 run twice leaves nothing behind and any store that Spark can write to will do.
 
-Encoding splits texts at single spaces between non-space characters and before line ends that
-follow one, where the tokenizer itself always splits. A worker encodes a distinct piece once and
-remembers it from task to task as long as pieces are seen again; texts keep all their ids.
+Encoding splits texts where the tokenizer itself always splits: at single spaces between non-space
+characters, around a single line end between such, and between a letter or digit and a mark like a
+comma. A worker encodes a distinct piece once and remembers it from task to task as long as pieces
+are seen again; texts keep all their ids.
 
 Defined results: null text is empty and has the end id only; null ids sort first; repeated rows
 stay, ordered by id, then text; an empty table has no shards. Other columns are ignored.
@@ -19,7 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +29,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewarden.llm.textvec import pieces
+from casewarden.llm.textvec import give_back, pieces
 from casewarden.llm.wavelet import NULL_ID, WaveletMatrix
 from casewarden.storage import written
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 #: Distinct pieces a worker remembers (about 150 bytes each) before it drops those not seen again.
-MEMORY_PIECES = 800_000
+MEMORY_PIECES = 400_000
 #: Bytes of text that are split and looked up together.
 BATCH_BYTES = 1 << 22
 #: All white space that the tokenizer knows, as a class of the regular expressions of Arrow.
 _WHITE = r"\s\x0b\x{85}\p{Z}"
+_WHITE_BUT_SPACE = r"\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Where a space may not split: next to other white space, or at an end.
 _UNSAFE = re.compile(r"(?:\s |\A | (?=\s)| \Z)")
-_INNER_SPACE = re.compile(r"\A\Z|\A\s\s|\A[^\S ]|\S\s|\A \Z")
+#: Pieces that are no line of their own: empty, white at the start (but for one space) or inside.
+_NO_LINE = rf"\A\z|\A[{_WHITE}][{_WHITE}]|\A[{_WHITE_BUT_SPACE}]|[^{_WHITE}][{_WHITE}]|\A \z"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -72,17 +75,13 @@ class PieceEncoder:
         each = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(keep))
         self.pool, self.ends, self.seen = each.flatten().to_numpy(), np.asarray(each.offsets).astype(np.int64), self.seen[keep] // 2
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words that are not known yet; their ids join the pool."""
-        if len(self.known) > MEMORY_PIECES:
-            self._forget()
-        missing = list(dict.fromkeys(w for w in words if w not in self.known))
+    def _learn(self, missing: list[str]) -> None:
+        """Encode distinct words that are not known yet; their ids join the pool."""
         # Pieces without inner white space are encoded 200 at a time, a line each: a line end
         # before a piece is an id of its own.
-        plain: list[str | None] = []
-        other: list[str] = []
-        for w in missing:
-            (other if _INNER_SPACE.search(w) else plain).append(w)
+        alone = pc.match_substring_regex(pa.array(missing, pa.large_string()), _NO_LINE).to_pylist()
+        plain: list[str | None] = [w for w, x in zip(missing, alone) if not x]
+        other = [w for w, x in zip(missing, alone) if x]
         ids, sizes = [self.pool], []
         for at in range(0, len(plain), 200):
             part = plain[at : at + 200]
@@ -102,37 +101,49 @@ class PieceEncoder:
         first = len(self.ends) - 1
         self.known.update(zip(learned, range(first, first + len(learned)), strict=True))
         self.pool = np.concatenate(ids)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))]) if sizes else self.ends
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
         self.seen = np.concatenate([self.seen, np.zeros(len(learned), np.uint32)])
 
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """The numbers of pieces, which are learned if need be."""
+        if len(self.known) > MEMORY_PIECES:
+            self._forget()
+        at = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(keys[i] for i in new)))
+            at[new] = [self.known[keys[i]] for i in new]
+        return at
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the n + 1 offsets of the texts' ids."""
         texts = texts.fill_null("").cast(pa.large_string())
-        # A space that may not split is hidden behind a character that no text of the batch uses, odd or not.
+        # A space that may not split is hidden behind a character that no text of the batch uses, odd or not;
+        # another one stands before a piece that has no space before it.
+        unused = (c for c in map(chr, range(0xE000, 0x10FFFF)) if not pc.any(pc.match_substring(texts, c)).as_py())
+        mark, joined = next(unused), next(unused)
         odd = pc.match_substring_regex(texts, rf"([{_WHITE}] |\A | [{_WHITE}]| \z)")
         plain = texts
-        mark = ""
         if pc.any(odd).as_py():
-            mark = next(c for c in map(chr, range(0xE000, 0x10FFFF)) if not pc.any(pc.match_substring(texts, c)).as_py())
             hidden = [_UNSAFE.sub(lambda m: m[0].replace(" ", mark), self._settled(t, mark)) for t in texts.filter(odd).to_pylist()]
             plain = pc.replace_with_mask(texts, odd, pa.array(hidden, pa.large_string()))
-        # A line end that follows no white space begins a piece; nothing else splits off "\n" behind a space.
-        plain = pc.replace_substring_regex(plain, rf"([^{_WHITE}{mark}])\n", r"\1 " + "\n")
+        # A line end that follows no white space begins a piece, and ends it if no white space follows.
+        plain = pc.replace_substring_regex(plain, rf"([^{_WHITE}{mark}])\n", rf"\1 {joined}" + "\n")
+        plain = pc.replace_substring_regex(plain, rf" {joined}\n([^{_WHITE}{mark}])", f" {joined}\n {joined}\\1")
+        plain = pc.replace_substring_regex(plain, r"([\p{L}\p{N}])([.,;:!?])", rf"\1 {joined}\2")
         split = pc.split_pattern(plain, " ")
         per_text = np.diff(np.asarray(split.offsets))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if mark:
-            words = [w.replace(mark, " ") for w in words]
-        # The first piece of a text has no space before it; others have.
+        # The first piece of a text has no space before it; others have, unless marked.
         code = np.asarray(coded.indices).astype(np.int64)
         leads = (np.cumsum(per_text) - per_text)[per_text > 0]
         starts, place = np.unique(code[leads], return_inverse=True)
-        inner = [w if w[:1] == "\n" else " " + w for w in words]
-        code[leads] = place + len(words)
-        keys = inner + [words[i] for i in starts.tolist()]
-        self._learn(keys)
-        at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        code[leads] = place + len(coded.dictionary)
+        words = pc.replace_substring(coded.dictionary, mark, " ")
+        empty = pa.scalar("", pa.large_string())
+        inner = pc.replace_substring(pc.binary_join_element_wise(empty, words, pa.scalar(" ", pa.large_string())), f" {joined}", "")
+        keys = [*inner.to_numpy(zero_copy_only=False), *words.take(pa.array(starts)).to_numpy(zero_copy_only=False)]
+        at = self._places(keys)
         self.seen[at] += 1
         each = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(at)).take(pa.array(code))
         ids, offsets = each.flatten().to_numpy(), np.asarray(each.offsets)
@@ -196,6 +207,8 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens:
                     at = to
         if held:
             yield image()
+        held.clear()
+        give_back()
 
     d = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     d = d.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -218,6 +231,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     ],
                     names=["part", "seq", "doc_id", "local_start", "n_tokens", "ids_crc32"],
                 )
+        give_back()
 
     schema = "part int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
     return shards.select("part", "seq", "image").mapInArrow(run, schema)
