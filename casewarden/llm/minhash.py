@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewarden.llm.components import components
-from casewarden.llm.textvec import mix, pieces, shingle_units, string_buffers, word_hashes
+from casewarden.llm.textvec import give_back, mix, pieces, shingle_units, string_buffers, word_hashes
 from casewarden.storage import written
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -41,6 +41,8 @@ BANDS, ROWS = 45, 7
 SLACK = 0.62
 #: So many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
+#: Texts whose signatures are made together, a few KB each.
+PIECE_ROWS = 1024
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Ticks of a wait of one, the mean at rate one.
 TICKS = 2.0**40
@@ -81,7 +83,7 @@ def bag_minhash(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
 
 
 def _row_units(column: pa.Array, width: int) -> Iterator[tuple]:
-    for first, last in pieces(column):
+    for first, last in pieces(column, rows=PIECE_ROWS):
         data, offsets = string_buffers(column.slice(first, last - first))
         h, words = word_hashes(data, offsets)
         yield first, last, h, words, shingle_units(h, words, width)
@@ -117,6 +119,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                     ],
                     names=["doc_id", "n_words", "class1", "class2", "n_units", "bands", "sig"],
                 )
+        give_back()
 
     schema = "doc_id long, n_words long, class1 long, class2 long, n_units long, bands array<long>, sig binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
