@@ -3,23 +3,27 @@
 The text view sees which words a document uses (hashed, with the square root of their share).
 The metadata view sees language, source and length, and the page's make-up: shares of symbols,
 digits, capitals, white space and line ends, word length, repetition. Two targets are learned, low
-quality and toxic. In each round each view is fitted on the labelled rows and on pseudo-labels
-of unlabelled rows that the other view was confident of; both are then calibrated and combined on
-labelled rows that no fit has seen.
-
-Fitting uses a bounded sample: ``LABELLED`` labelled and ``UNLABELLED`` unlabelled rows, the first
-by a hash of the id. The labelled rows are shared out evenly over the combinations of labels, a
-rare one is taken whole; calibration weighs each row with the rows of the table it stands for. All
-documents are scored.
-
-Defined results: null text is empty, null language or source is its own value; documents are
-scored row by row, so repeated rows get equal scores; a target with fewer than ``LEAST`` labelled
-documents of either class is never predicted (probability 0), with a warning. Other columns are
-ignored.
+quality and toxic. Each view is fitted on labelled rows. Then, in every round, one pass over all
+documents lets each view name those it is confident of, and adds up what these pseudo-labels ask of
+the other view: per class, the mean gradient of its loss and a bound of its curvature. Each view is
+fitted again on the labelled rows and that quadratic bound, so all documents take part in every
+exchange and only sums (two numbers a feature) leave the tasks. Both views are then calibrated and
+combined on labelled rows that no fit has seen.
+
+Labelled rows are a bounded sample, ``LABELLED`` by a hash of the id, shared out evenly over the
+combinations of labels, a rare one taken whole; calibration weighs each row with the rows of the table
+it stands for. Documents outside it, labelled or not, are pseudo-labelled. All documents are scored.
+
+Defined results: null text is empty, null language or source is its own value; very long texts are read
+whole; documents are scored row by row, so repeated rows get equal scores; of rows that share a labelled
+id one is learned from, by the hash of its text; a target with fewer than ``LEAST`` labelled documents of
+either class is never predicted (probability 0), with a warning; without labels nothing is; an empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 import warnings
 from collections.abc import Iterator
 
@@ -29,15 +33,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewarden.llm.textvec import pieces, string_buffers, word_hashes
+from casewarden.llm.textvec import give_back, pieces, string_buffers, word_hashes
 
-LABELLED, UNLABELLED = 6000, 4000
+LABELLED = 6000
 #: Labelled documents of each class that a target needs.
 LEAST = 8
 ROUNDS, CONFIDENT = 3, 0.97
+#: Weight of all pseudo-labels together, relative to all labels.
+PSEUDO = 0.3
 WORD_BITS, VOCABULARY = 20, 1500
 META_HASHED = 32
 LIMIT = 0.5
+#: Texts that are scored together.
+PIECE_ROWS = 512
 _SHAPES = 10
 
 
@@ -55,7 +63,7 @@ SHAPES = _shape_tables()
 
 def features(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]]:
     """For pieces of a batch (doc_id, text, lang, source): rows, words as (row, bucket, value), metadata."""
-    for first, last in pieces(batch.column(1)):
+    for first, last in pieces(batch.column(1), rows=PIECE_ROWS):
         n = last - first
         data, offsets = string_buffers(batch.column(1).slice(first, n))
         h, words = word_hashes(data, offsets)
@@ -82,13 +90,49 @@ def features(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple[np.ndarray
         yield first, last, words_view, meta
 
 
+class Sparse:
+    """Rows of few words each, for ``@`` with a vector; as exact as a dense matrix in single precision."""
+
+    def __init__(self, n: int, width: int, row: np.ndarray, column: np.ndarray, value: np.ndarray):
+        self.n, self.width, self.row, self.column, self.value = n, width, row, column, value.astype(np.float32)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.n)
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """Weighted sum of the rows."""
+        return np.bincount(self.column, self.value * weight[self.row], self.width)
+
+    def lengths(self) -> np.ndarray:
+        return np.bincount(self.row, self.value, self.n)
+
+
+class Asked:
+    """A quadratic bound of the pseudo-labels' loss around a fitted model, for features less the model's means.
+
+    Its curvature is a diagonal; the last place is the bias.
+    """
+
+    def __init__(self, model: Logistic, sums: dict[int, tuple[int, np.ndarray, np.ndarray]]):
+        """sums: class -> documents, summed gradient, summed curvature, of features as they are."""
+        self.at = np.append(model.w, model.b + float(model.w @ model.mean))
+        slope, curve = (PSEUDO * np.mean(x, axis=0) for x in zip(*((g / n, c / n) for n, g, c in sums.values() if n)))
+        slope[:-1] -= model.mean * slope[-1]
+        curve[:-1] += np.abs(model.mean) * curve[-1]
+        self.slope, self.curve = slope, curve
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        return self.slope + self.curve * (w - self.at)
+
+
 class Logistic:
     """Ridge logistic regression on standardised dense columns, held once and in single precision."""
 
     def __init__(self, ridge: float):
         self.ridge = ridge
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Logistic:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, asked: Asked | None = None) -> Logistic:
+        """``asked``: what pseudo-labels ask of the weights, added to the loss."""
         f = np.float32
         self.mean = (weight.astype(f) @ x).astype(float) / weight.sum()
         z = np.subtract(x, self.mean.astype(f), dtype=f)
@@ -98,10 +142,17 @@ class Logistic:
         w, b = np.zeros(x.shape[1]), 0.0
         move_w, move_b, total = np.zeros_like(w), 0.0, weight.sum()
         step = 4.0 / (1.0 + float(np.einsum("ij,ij->i", z, z).mean(dtype=float)) ** 0.5)
+        rate = np.full(len(w) + 1, 0.1 * step)
+        if asked:  # shorter steps where the bound is steep
+            rate /= 1.0 + 10 * rate * asked.curve / np.append(self.scale, 1.0) ** 2
         for _ in range(250):
             error = weight * (_sigmoid(z @ w.astype(f) + b) - y) / total
-            move_w = 0.9 * move_w - step * 0.1 * (error.astype(f) @ z + self.ridge * w)
-            move_b = 0.9 * move_b - step * 0.1 * error.sum()
+            pull_w, pull_b = error.astype(f) @ z + self.ridge * w, error.sum()
+            if asked:
+                more = asked.gradient(np.append(w / self.scale, b))
+                pull_w, pull_b = pull_w + more[:-1] / self.scale, pull_b + more[-1]
+            move_w = 0.9 * move_w - rate[:-1] * pull_w
+            move_b = 0.9 * move_b - rate[-1] * pull_b
             w, b = w + move_w, b + move_b
         self.w, self.b = w / self.scale, b - float((w / self.scale) @ self.mean)
         return self
@@ -132,45 +183,60 @@ def _platt(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 class CoTrained:
     """One target: text and metadata views, calibrated and combined."""
 
-    def fit(self, words: np.ndarray, meta: np.ndarray, y: np.ndarray, stands_for: np.ndarray | None = None, rounds: int = ROUNDS) -> CoTrained | None:
-        """y: 0, 1, or -1 for unlabelled rows; stands_for: rows of the table for each labelled row."""
+    def __init__(self, words: np.ndarray, meta: np.ndarray, y: np.ndarray, stands_for: np.ndarray | None = None):
+        """y: 0, 1, or -1 for rows without this label; stands_for: rows of the table for each row."""
+        self.views, self.y = (words, meta), y
         classes = [np.flatnonzero(y == c) for c in (0, 1)]
-        if min(map(len, classes)) < LEAST:
-            return None
+        self.known = min(map(len, classes)) >= LEAST
+        if not self.known:
+            return
         worth = np.ones(len(y)) if stands_for is None else stands_for
         # Fits weigh the classes evenly, rows within a class as they are in the table.
-        inside = np.ones(len(y))
+        self.inside = np.ones(len(y))
         for rows in classes:
-            inside[rows] = worth[rows] / worth[rows].mean()
-        held = np.sort(np.concatenate([rows[::4] for rows in classes]))
-        weight_held = worth[held] / worth[held].mean()
-        fit_rows = np.setdiff1d(np.concatenate(classes), held)
-        pool = np.flatnonzero(y < 0)
-        label = [y.copy(), y.copy()]  # what each view is fitted on
-        views = (words, meta)
-        for turn in range(rounds):
-            models, certain = [], []
-            for view in (0, 1):
-                use = np.concatenate([fit_rows, pool[label[view][pool] >= 0]])
-                target = label[view][use].astype(float)
-                positive = max(target.mean(), 1e-6)
-                weight = np.where(target > 0, 0.5 / positive, 0.5 / (1 - positive)) * np.where(y[use] < 0, 0.3, inside[use])
-                model = Logistic((3e-3, 1e-3)[view]).fit(views[view][use], target, weight)
-                a, b = _platt(model(views[view][held]), y[held].astype(float), weight_held)
-                models.append((model, a, b))
-                certain.append(_sigmoid(a * model(views[view][pool]) + b))
-            if turn + 1 < rounds:
-                for view in (0, 1):  # confident labels go to the other view
-                    p = certain[1 - view]
-                    label[view][pool] = np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1))
+            self.inside[rows] = worth[rows] / worth[rows].mean()
+        self.held = np.sort(np.concatenate([rows[::4] for rows in classes]))
+        self.weight_held = worth[self.held] / worth[self.held].mean()
+        self.use = np.setdiff1d(np.concatenate(classes), self.held)
+        self.models: list[tuple[Logistic, float, float]] = []
+
+    def fit(self, asked: dict[int, Asked] | None = None) -> CoTrained:
+        """Fit both views, with what the other view's pseudo-labels ask of each, and calibrate them."""
+        target, held = self.y[self.use].astype(float), self.y[self.held].astype(float)
+        positive = target.mean()
+        weight = np.where(target > 0, 0.5 / positive, 0.5 / (1 - positive)) * self.inside[self.use]
+        models = []
+        for view, x in enumerate(self.views):
+            model = Logistic((3e-3, 1e-3)[view]).fit(x[self.use], target, weight, (asked or {}).get(view))
+            models.append((model, *_platt(model(x[self.held]), held, self.weight_held)))
         self.models = models
-        both = np.column_stack(self._logits(words[held], meta[held]))
-        even = inside[held] * np.where(y[held] == 1, 0.5 / (y[held] == 1).mean(), 0.5 / (y[held] == 0).mean())
-        self.top = Logistic(1e-3).fit(both, y[held].astype(float), even)
-        a, b = _platt(self.top(both), y[held].astype(float), weight_held)
+        return self
+
+    def combine(self) -> CoTrained:
+        """Fit the combination of both views, and let the sample go."""
+        y = self.y[self.held]
+        both = np.column_stack(self._logits(*(x[self.held] for x in self.views)))
+        even = self.inside[self.held] * np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+        self.top = Logistic(1e-3).fit(both, y.astype(float), even)
+        a, b = _platt(self.top(both), y.astype(float), self.weight_held)
         self.top.w, self.top.b = self.top.w * a, self.top.b * a + b
+        del self.views, self.y, self.inside, self.held, self.weight_held, self.use
         return self
 
+    def pseudo(self, words: Sparse, meta: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """What confident labels ask of the other view: view, class, documents, gradient, curvature."""
+        raw = [m(x) for (m, _, _), x in zip(self.models, (words, meta), strict=True)]
+        sure = [_sigmoid(a * r + b) for (_, a, b), r in zip(self.models, raw, strict=True)]
+        for view, x in enumerate((words, meta)):
+            p = _sigmoid(raw[view])
+            for label, chosen in ((0, sure[1 - view] <= 1 - CONFIDENT), (1, sure[1 - view] >= CONFIDENT)):
+                slope, bend = np.where(chosen, p - label, 0.0), np.where(chosen, p * (1 - p), 0.0)
+                # A diagonal that bounds the curvature: each feature's share of the row's whole length.
+                length = (x.lengths() if view == 0 else np.abs(x).sum(axis=1)) + np.abs(self.models[view][0].mean).sum() + 1.0
+                gradient = x.sums(slope) if view == 0 else slope @ x
+                curvature = x.sums(bend * length) if view == 0 else (bend * length) @ np.abs(x)
+                yield view, label, int(chosen.sum()), np.append(gradient, slope.sum()), np.append(curvature, (bend * length).sum())
+
     def _logits(self, words: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
         return [np.clip(a * m(x) + b, -12, 12) for (m, a, b), x in zip(self.models, (words, meta), strict=True)]
 
@@ -189,6 +255,18 @@ class Model:
         self.place[vocabulary] = np.arange(len(vocabulary))
         self.size = len(vocabulary)
 
+    def light(self) -> Model:
+        """The same model without the sample it is fitted on, to be sent to tasks."""
+        parts: dict[str, CoTrained | None] = {}
+        for target, part in self.parts.items():
+            parts[target] = copy.copy(part)
+            if part:
+                vars(parts[target]).clear()
+                parts[target].models = part.models
+        out = copy.copy(self)
+        out.parts = parts
+        return out
+
     def dense(self, n: int, view: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         row, bucket, value = view
         column = self.place[bucket]
@@ -197,8 +275,14 @@ class Model:
         x[row[keep], column[keep]] = value[keep]
         return x
 
+    def sparse(self, n: int, view: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Sparse:
+        row, bucket, value = view
+        column = self.place[bucket]
+        keep = column >= 0
+        return Sparse(n, self.size, row[keep], column[keep], value[keep])
+
     def score(self, n: int, view: tuple, meta: np.ndarray) -> dict[str, np.ndarray]:
-        x = self.dense(n, view)
+        x = self.sparse(n, view)
         return {t: p.probability(x, meta) if (p := self.parts[t]) else np.zeros((n, 3)) for t in self.targets}
 
 
@@ -246,18 +330,52 @@ def _draw(known: DataFrame, total: int) -> tuple[DataFrame, dict[tuple, int]]:
     return known.orderBy(place, "id").limit(total), sizes
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on the bounded sample; only its features come to the driver."""
+def exchange(docs: DataFrame, model: Model, sample: list[int]) -> dict[str, dict[int, Asked]]:
+    """One pass over all documents but the sample: what each target's views ask of each other."""
+    known = np.array(sorted(sample), np.int64)
+    views = {t: p.models for t, p in model.parts.items() if p}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int, int], list] = {}
+        for batch in batches:
+            ids = batch.column(0)
+            fresh = ids.is_null().to_numpy(zero_copy_only=False) | ~np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), known)
+            batch = batch.filter(pa.array(fresh))
+            for first, last, words, meta in features(batch):
+                x = model.sparse(last - first, words)
+                for t in views:
+                    for view, label, n, g, c in model.parts[t].pseudo(x, meta):
+                        old = total.setdefault((t, view, label), [0, 0.0, 0.0])
+                        total[t, view, label] = [old[0] + n, old[1] + g, old[2] + c]
+        for (t, view, label), (n, g, c) in total.items():
+            lists = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (g, c)]
+            yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([view], pa.int32()), pa.array([label], pa.int32()), pa.array([n], pa.int64()), *lists], names=["target", "view", "label", "n", "g", "c"])
+        give_back()
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source")
+    rows = rows.mapInArrow(run, "target string, view int, label int, n long, g array<double>, c array<double>")
+    cells = rows.select("target", "view", "label", "n", F.posexplode(F.arrays_zip("g", "c")).alias("i", "v"))
+    cells = cells.groupBy("target", "view", "label", "i").agg(F.sum("n").alias("n"), F.sum("v.g").alias("g"), F.sum("v.c").alias("c"))
+    sums: dict[tuple[str, int], dict[int, tuple]] = {}
+    for r in cells.orderBy("target", "view", "label", "i").collect():  # four numbers a feature and target
+        n, g, c = sums.setdefault((r["target"], r["view"]), {}).setdefault(r["label"], (r["n"], [], []))
+        g.append(r["g"])
+        c.append(r["c"])
+    asked: dict[str, dict[int, Asked]] = {}
+    for (t, view), by_label in sums.items():
+        if any(n for n, _, _ in by_label.values()):
+            arrays = {k: (n, np.array(g), np.array(c)) for k, (n, g, c) in by_label.items()}
+            asked.setdefault(t, {})[view] = Asked(views[t][view][0], arrays)
+    return asked
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """Fit on the bounded sample of labelled rows and on exchanges over all documents; of texts only the sample's features reach the driver."""
     known = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max(1 - F.col("quality")).alias("low"), F.max("toxic").alias("toxic"))
     known = known.where("id IS NOT NULL").select("id", F.col("low").cast("int"), F.col("toxic").cast("int"))
     chosen, in_table = _draw(known, labelled)
-    order = F.xxhash64(F.lit(5), "id")
-    pool = docs.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").join(known, "id", "left_anti")
-    none = F.lit(None).cast("int")
-    take = chosen.union(
-        pool.orderBy(order, "id").limit(unlabelled).select("id", none, none)
-    )
-    rows = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(take), F.col("doc_id") == F.col("id"))
+    rows = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    rows = rows.groupBy("id", "low", "toxic").agg(F.min_by(F.struct("text", "lang", "source"), F.xxhash64(F.lit(7), "text", "lang", "source")).alias("d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,28 +392,38 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
                     names=["doc_id", "low", "toxic", "bucket", "value", "meta"],
                 )
 
-    rows = rows.select(F.col("doc_id").cast("long"), "text", "lang", "source", "low", "toxic")
+    rows = rows.select(F.col("id").cast("long").alias("doc_id"), "d.text", "d.lang", "d.source", "low", "toxic")
     sample = rows.mapInArrow(run, "doc_id long, low int, toxic int, bucket binary, value binary, meta binary").toPandas()
-    sample = sample.assign(draw=[xxhash.xxh64_intdigest(str(i)) for i in sample["doc_id"]]).sort_values(["draw", "doc_id", "bucket"]).reset_index(drop=True)
-    n = len(sample)
+    sample = sample.assign(draw=[xxhash.xxh64_intdigest(str(i)) for i in sample["doc_id"]]).sort_values(["draw", "doc_id"]).reset_index(drop=True)
+    n, ids = len(sample), sample["doc_id"].tolist()
     low, toxic = (sample[t].fillna(-1).to_numpy().astype(np.int64) for t in ("low", "toxic"))
     if not n:
         return Model(np.zeros(0, np.int64), dict.fromkeys(Model.targets))
     sizes = [len(x) // 4 for x in sample["bucket"]]
     row = np.repeat(np.arange(n), sizes)
-    bucket = np.frombuffer(b"".join(map(bytes, sample["bucket"])), np.int32).astype(np.int64)
-    value = np.frombuffer(b"".join(map(bytes, sample["value"])), np.float32).astype(float)
+    bucket = np.frombuffer(b"".join(map(bytes, sample["bucket"])), np.int32)
+    value = np.frombuffer(b"".join(map(bytes, sample["value"])), np.float32)
     meta = np.frombuffer(b"".join(map(bytes, sample["meta"])), np.float32).reshape(n, -1).astype(float)
     model = Model(_vocabulary(row, bucket, n, low, toxic), {})
     combination = (low + 1) * 3 + toxic + 1
     rows_of = {(-1 if a is None else a) * 3 + 3 + (-1 if b is None else b) + 1: size for (a, b), size in in_table.items()}
     stands_for = np.array([rows_of.get(c, 1) for c in range(9)], float)[combination] / np.bincount(combination, minlength=9)[combination]
-    for target, y in zip(Model.targets, (low, toxic), strict=True):
-        if (y >= 0).any() and min((y == 0).sum(), (y == 1).sum()) < LEAST:
-            warnings.warn(f"target {target}: fewer than {LEAST} labelled documents of a class, never predicted", stacklevel=2)
     x = model.dense(n, (row, bucket, value))
     del sample, row, bucket, value  # the driver holds one matrix from here on
-    model.parts = {"low": CoTrained().fit(x, meta, low, stands_for), "toxic": CoTrained().fit(x, meta, toxic, stands_for)}
+    for target, y in zip(Model.targets, (low, toxic), strict=True):
+        part = CoTrained(x, meta, y, stands_for)
+        if not part.known:
+            warnings.warn(f"target {target}: fewer than {LEAST} labelled documents of a class, never predicted", stacklevel=2)
+        model.parts[target] = part.fit() if part.known else None
+    if any(model.parts.values()):
+        for _ in range(rounds - 1):
+            asked = exchange(docs, model.light(), ids)
+            for target, part in model.parts.items():
+                if part:
+                    part.fit(asked.get(target))
+    for part in model.parts.values():
+        if part:
+            part.combine()
     return model
 
 
@@ -316,6 +444,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     ],
                     names=["doc_id", "p_low", "p_toxic", "text_low", "text_toxic", "meta_low", "meta_toxic", "score", "kept", "text_hash"],
                 )
+        give_back()
 
     schema = "doc_id long, p_low double, p_toxic double, text_low double, text_toxic double, meta_low double, meta_toxic double, score double, kept boolean, text_hash long"
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", F.xxhash64("text", "lang", "source").alias("text_hash"))

@@ -65,9 +65,8 @@ def test_exact_dedup_odd(spark, odd_docs):
     assert exact_dedup.content_sort_groups(odd_docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_decontaminate_odd(spark, odd_docs, limit, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_SET", limit)
+@pytest.mark.parametrize("most", [decontaminate.MAX_BROADCAST_BYTES, 0])
+def test_decontaminate_odd(spark, odd_docs, most):
     items = [(1, "ONE two"), (2, None), (3, "..."), (4, "word " * 12), (10, "straße"), (11, "é"), (12, "k")]
     bench = spark.createDataFrame(items, "item_id long, text string")
 
@@ -83,12 +82,21 @@ def test_decontaminate_odd(spark, odd_docs, limit, monkeypatch):
                     found.add(str(item))
         return len(w), len(hit), sorted(found)
 
-    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.items) for r in decontaminate.scan(odd_docs, bench).collect())
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.items) for r in decontaminate.scan(odd_docs, bench, most=most).collect())
     assert got == sorted((str(r.doc_id), *brute(r.text)) for r in odd_docs.collect())
     kept = decontaminate.clean(odd_docs, bench)
     assert kept.columns == odd_docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "6", "None"]
     assert decontaminate.scan(odd_docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.scan(odd_docs.limit(0), bench).count() == 0
+
+
+def test_large_benchmark_is_a_broadcast_set(spark):
+    """A benchmark of a million windows: the same job, and only windows that hit are made as text."""
+    bench = spark.range(1000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1008)), lambda i: F.concat(F.lit("w"), (F.col("id") * 1009 + i).cast("string"))), " ").alias("text"))
+    docs = spark.createDataFrame([(1, "a b c " + " ".join(f"w{i}" for i in range(1009 * 7 + 5, 1009 * 7 + 20))), (2, "w1 w3 w5 " * 50)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.scan(docs, bench).collect()}
+    assert got == {1: (18, 15, ["7"]), 2: (150, 0, [])}
 
 
 def test_mixing_targets_and_quotas(spark, sf, odd_docs):
@@ -248,7 +256,7 @@ def test_quality_of_a_rare_class(spark):
             words[::4] = [("vile" if toxic else "spam") + str(rng.randrange(6)) for _ in range(10)]
         rows.append((i, " ".join(words), "en", "a", 1 - low, int(toxic)))
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, quality int, toxic int")
-    model = quality.train(table, table.select("doc_id", "quality", "toxic").where("doc_id < 10000"), labelled=1200, unlabelled=400)
+    model = quality.train(table, table.select("doc_id", "quality", "toxic").where("doc_id < 10000"), labelled=1200)
     got = quality.score(table, model).toPandas().set_index("doc_id")
     toxic = got.index % 500 == 7
     assert (got["p_toxic"] > 0.5)[toxic].mean() > 0.9 and (got["p_toxic"] > 0.5)[~toxic].mean() < 0.002
@@ -256,7 +264,7 @@ def test_quality_of_a_rare_class(spark):
     assert ((got["p_low"] > 0.5) == low)[~toxic].mean() > 0.99
     labels = table.select("doc_id", "quality", F.expr("int(doc_id < 5)").alias("toxic"))
     with pytest.warns(UserWarning, match="toxic"):
-        assert quality.train(table, labels, labelled=1200, unlabelled=400).parts["toxic"] is None
+        assert quality.train(table, labels, labelled=1200).parts["toxic"] is None
 
 
 def test_quality_odd(spark, odd_docs):
