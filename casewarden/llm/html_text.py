@@ -11,8 +11,8 @@ containers (navigation, headers and footers of the page, asides, forms, adverts,
 comments) never count. Names tell them: a class or role that holds a label; within an article, and
 for ids everywhere, only one made of labels and words for layout. A heading's id tells nothing.
 
-Defined results: null, empty or text-free html gives an empty text; broken or unclosed markup is
-read on; text without any markup is one block; repeated rows each get their row; a page's blocks
+Defined results: null, empty or text-free html gives an empty text; an empty table gives no rows;
+very long pages are read whole; broken or unclosed markup is read on; text without any markup is one block; repeated rows each get their row; a page's blocks
 are joined in page order by one newline, repeats kept. Other columns are ignored.
 """
 
@@ -28,12 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.25
+#: Stands for a header that may be the page's or the text's.
+HEADER = 2
 SMOOTH = np.array([1.0, 2.0, 4.0, 2.0, 1.0]) / 10.0
 
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option button".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select option button annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp nobr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp nobr "
+    "math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose merror mtable mtr mtd".split()
 )
 BOILER = frozenset("nav header footer aside form menu dialog fieldset figure".split())
 ARTICLE = frozenset(("article", "main"))
@@ -48,6 +51,10 @@ LABEL = re.compile(rf"(?:^|[\s_-])(?:{_LABELS})(?:$|[\s_-])")
 _LAYOUT = "area|articles|bar|block|bottom|box|buttons?|container|content|form|icons|inner|items|left|links|list|main|outer|page|panel|posts|right|section|site|slot|stories|top|unit|wrap|wrapper"
 #: A name of labels and words for layout, one label at least: "ad", "share-buttons", but not "related-work".
 WHOLE = re.compile(rf"(?:(?:{_LAYOUT})[_-]+)*(?:{_LABELS})(?:[_-]+(?:{_LABELS}|{_LAYOUT}|\d+))*")
+#: Names of articles that are no article of the page: reader comments, adverts, other stories.
+OTHER = re.compile(r"(?:\w+[_-])?(?:comments?|repl(?:y|ies)|responses?|disqus|ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|teasers?)(?:[_-](?:body|box|item|entry|content|inner|list|\d+))*")
+#: What makes the element around it a frame of the page rather than of the article.
+FRAME = frozenset(("nav", "footer", "aside"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 CLASS = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -60,13 +67,14 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, str,
     number: dict[tuple[int, str, bool], int] = {}
     stack, out, held = [0], [], []
     link_chars, in_link, at, n = 0, False, 0, len(page)
+    link_depth = 0  # a link lasts until its end tag, or the end of the element it began in
 
     def close() -> None:
-        nonlocal held, link_chars, in_link
+        nonlocal held, link_chars
         text = " ".join(html.unescape("".join(held)).split())
         if text:
             out.append((text, stack[-1], link_chars))
-        held, link_chars, in_link = [], 0, False
+        held, link_chars = [], 0
 
     while at < n:
         m = TOKEN.match(page, at)
@@ -84,7 +92,7 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, str,
                 at = end.end() if end else (n if tag in ("script", "style", "textarea", "title") else at)
             continue
         if tag == "a":
-            in_link = not m[1]
+            in_link, link_depth = not m[1], len(stack)
             continue
         if tag in INLINE or tag in RAW:
             continue
@@ -97,6 +105,7 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, str,
                 if paths[stack[i]][1] == tag:
                     del stack[i:]
                     break
+            in_link = in_link and len(stack) >= link_depth
             continue
         ended = {"p"} if tag in ENDS_P else SIBLING.get(tag, set())
         top = paths[stack[-1]][1]
@@ -104,27 +113,50 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, str,
             stack.pop()
             if tag == "tr" and len(stack) > 1 and paths[stack[-1]][1] == "tr":
                 stack.pop()
+            in_link = in_link and len(stack) >= link_depth
         if tag in VOID:
             continue
         named = [(g[0].lower(), x.lower()) for g in CLASS.findall(m[3]) for x in g[1:] if x]
         names = " ".join(x for _, x in named)
-        node = (stack[-1], tag, paths[stack[-1]][2] or _boilerplate(tag, named, paths, stack[-1]))
+        node = (stack[-1], tag, _boilerplate(tag, named, paths, stack[-1]))
         key = (node[0], f"{tag}.{names}", node[2])
         if key not in number:
             number[key] = len(paths)
             paths.append(node)
         stack.append(number[key])
     close()
-    return out, paths
+    return out, _inherited(paths)
 
 
-def _boilerplate(tag: str, named: list[tuple[str, str]], paths: list, parent: int) -> bool:
-    if tag in ("html", "body", "article", "main"):
+def _inherited(paths: list[tuple[int, str, bool]]) -> list[tuple[int, str, bool]]:
+    """Paths with what they inherit: all below boilerplate is boilerplate.
+
+    A header outside an article is the page's own if it lies in the body, in an element that also holds
+    navigation, a footer or an aside, or holds navigation itself; else it belongs to the text beside it.
+    """
+    frames = {parent for parent, tag, _ in paths if tag in FRAME}
+    with_nav = set()
+    for parent, tag, _ in paths:
+        while tag == "nav" and parent > 0:
+            with_nav.add(parent)
+            parent = paths[parent][0]
+    out: list[tuple[int, str, bool]] = []
+    for p, (parent, tag, own) in enumerate(paths):  # parents come before their children
+        if tag == "header" and own == HEADER:
+            own = parent <= 0 or paths[parent][1] in ("html", "body") or parent in frames or p in with_nav
+        out.append((parent, tag, bool(own) or (parent >= 0 and out[parent][2])))
+    return out
+
+
+def _boilerplate(tag: str, named: list[tuple[str, str]], paths: list, parent: int) -> bool | int:
+    if tag in ("html", "body", "main"):
         return False
+    if tag == "article":
+        return any(OTHER.fullmatch(word) for _, x in named for word in x.split())
     if tag in ("header", "figure"):  # an article's own header or figure is content
         if _in_article(paths, parent):
             return tag != "header" and _labelled(tag, named, paths, parent)
-        return tag == "header"
+        return HEADER if tag == "header" and not _labelled(tag, [n for n in named if n[1] != "header"], paths, parent) else tag == "header"
     return tag in BOILER or _labelled(tag, named, paths, parent)
 
 
