@@ -11,12 +11,13 @@ from the number of parties; only quotients between that and an upper bound are r
 about three per party, so no list of all seats is ever made.
 
 A shard lays its documents end to end in seeded order and cuts them into blocks. It takes whole
-passes, then as many blocks as are left, in seeded order of blocks. So a word is taken at most
-``max_epochs`` times.
+passes, then as many blocks as are left, spread evenly over the shard from a seeded start. So a word is
+taken at most ``max_epochs`` times. How many drawn blocks lie before a word follows from its place, so
+no blocks are listed: what a document takes is the difference at its two ends.
 
 Defined results: null text has size 0 and takes nothing; null sources are one source, last in
-order; repeated rows are documents of their own; an empty table gives no rows. Block size is
-total words / 2**20, within 1 and 256. Other columns are ignored.
+order; repeated rows are documents of their own; an empty table gives no rows; very long texts are
+blocks like others. Block size is total words / 2**20, within 1 and 256. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,42 +103,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     left = F.col("take") - F.col("passes") * F.col("cell")
     cells = cells.withColumn("extra", F.round(left / block).cast("long"))
 
-    # Blocks of each cell: which are drawn, and how many drawn words lie before each.
-    blocks = cells.where("cell > 0").select(
-        "key", "shard", "cell", "extra", F.explode(F.expr(f"sequence(0L, (cell - 1) div {block})")).alias("block")
-    )
-    cell = Window.partitionBy("key", "shard")
-    lot = F.row_number().over(cell.orderBy(F.xxhash64(F.lit(seed + 2), "key", "shard", "block"), "block"))
-    drawn = F.when(lot <= F.col("extra"), F.least(F.lit(block), F.col("cell") - F.col("block") * block)).otherwise(0)
-    blocks = blocks.select("key", "shard", "block", drawn.alias("drawn"))
-    earlier = cell.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("drawn_before", F.coalesce(F.sum("drawn").over(earlier), F.lit(0)))
-
-    line = cell.orderBy("draw", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("blocks", F.expr(f"(cell + {block - 1}) div {block}"))
+    cells = cells.withColumn("shift", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "key", "shard"), F.col("blocks"))).otherwise(0))
+
+    line = Window.partitionBy("key", "shard").orderBy("draw", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = light.withColumn("end", F.sum("size").over(line)).withColumn("start", F.col("end") - F.col("size"))
-    d = d.join(cells.select("key", "shard", "source_size", "target", "passes"), ["key", "shard"])
-
-    def words_before(point: str) -> tuple[DataFrame, Column]:
-        b = blocks.select(
-            F.col("key").alias(f"{point}_key"), F.col("shard").alias(f"{point}_shard"), F.col("block").alias(f"{point}_block"),
-            F.col("drawn").alias(f"{point}_drawn"), F.col("drawn_before").alias(f"{point}_before"),
-        )
-        within = F.least(F.col(f"{point}_drawn"), F.col(point) - F.col(f"{point}_block") * block)
-        return b, F.col(f"{point}_before") + within
-
-    values = []
-    for point in ("start", "end"):
-        b, value = words_before(point)
-        last = F.col(point) if point == "start" else F.greatest(F.col(point) - 1, F.lit(0))
-        at = F.expr(f"({point} - {0 if point == 'start' else 1}) div {block}") if point == "start" else F.floor(last / block)
-        on = (d["key"] == b[f"{point}_key"]) & (d["shard"] == b[f"{point}_shard"]) & (at == b[f"{point}_block"])
-        d = d.join(b, on, "left")
-        values.append(value)
-    extra = F.when(F.col("size") > 0, values[1] - values[0]).otherwise(0)
+    d = d.join(cells.select("key", "shard", "source_size", "target", "passes", "extra", "blocks", "shift"), ["key", "shard"])
+    drawn = F.when((F.col("size") > 0) & (F.col("extra") > 0), words_drawn("end", block) - words_drawn("start", block)).otherwise(0)
     return d.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("passes") * F.col("size") + F.coalesce(extra, F.lit(0))).cast("long").alias("taken"), "text_hash",
-    )
+        "doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + drawn).cast("long").alias("taken"), "text_hash"
+    )
+
+
+def words_drawn(place: str, block: int) -> Column:
+    """Words before ``place`` of a shard that lie in drawn blocks.
+
+    Of ``blocks`` blocks ``extra`` are drawn: block b if (b + shift) * extra / blocks passes a whole number
+    between b and b + 1.
+    """
+    before = f"(((({place} div {block}) + {{}} + shift) * extra) div blocks)"
+    full = f"({before.format(0)} - ((shift * extra) div blocks))"
+    return F.expr(f"{full} * {block} + ({before.format(1)} - {before.format(0)}) * ({place} % {block})")
 
 
 def repeat_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
