@@ -1,17 +1,20 @@
 """Sharding by k-d tree partitioning.
 
-Documents are points of metadata (identifier, language, source). The tree splits recursively: a node
+Documents are points of metadata (identifier, language, source). A language or source counts by its
+place among the distinct values, so no two are taken for one. The tree splits recursively: a node
 that is to become k shards is cut along its widest dimension, relative to the whole table's
 range, at the weighted median (for odd k at floor(k/2) / k of its bytes). All nodes of a level
 are cut by the same jobs: histograms of bytes, each round of them refining the one bin in which a
 node's cut lies, until that bin is light. Documents with equal values are ordered by a hash of
-the document id, so a source or language with a third of all rows is split like any other.
+the document id, the text and, for repeated rows, their number, so a source, a language or a group of
+equal rows with a third of all rows is split like any other.
 
 Law: ``bytes``, the shards' sizes are near equal. Only the tree's nodes (fewer than two per
 shard) reach the driver.
 
 Defined results: null text has no bytes and CRC 0; null metadata is the smallest value; repeated
-rows share their place in the order; an empty table gives no rows. Other columns are ignored.
+rows each have their place, and may lie in several shards; an empty table gives no rows; very long texts
+count by their bytes. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +27,33 @@ from casewarden.storage import written
 SHARDS = 40
 ROW_BYTES = 16
 #: Order of a dimension: so many bits of the value, then bits of the id's hash.
-VALUE_BITS, HASH_BITS = 20, 24
+VALUE_BITS, HASH_BITS = 36, 24
 BINS = 4096
 #: A cut is good enough when the bin that holds it has this part of a shard's bytes.
 TOLERANCE = 0.002
 SLOT_PARTS = 64
 
 
-def _code(column: str):
-    """The first seven bytes of a string as a number in the same order."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(column, F.lit("")), "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+def _numbered(rows: DataFrame, group: list[str], order: list, spread) -> DataFrame:
+    """Adds ``number``, from 0 without gaps within the group; parts of a group, dealt by ``spread``, are numbered apart, then offset."""
+    p = rows.withColumn("_part", F.pmod(spread, F.lit(SLOT_PARTS)))
+    counts = p.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(*group, "_part").orderBy(*order)
+    p = p.withColumn("_place", F.row_number().over(own)).join(counts, [*group, "_part"])
+    return p.withColumn("number", (F.col("_before") + F.col("_place") - 1).cast("long")).drop("_part", "_place", "_before")
+
+
+def _ranks(base: DataFrame, column: str) -> DataFrame:
+    """(value, rank): the distinct values of a column in order, null first; sorted by range, so no task has them all."""
+    values = base.select(F.col(column).alias("value")).distinct().repartitionByRange(F.col("value").asc_nulls_first())
+    values = written(values.withColumn("part", F.spark_partition_id()), "kd_values")
+    counts = values.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    counts = counts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("value").asc_nulls_first()))
+    return values.withColumn("own", own).join(counts, "part").select("value", (F.col("before") + F.col("own") - 1).alias("rank"))
 
 
 def kd_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
@@ -42,29 +61,45 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFram
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text).cast("long") + ROW_BYTES
-    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.encode(text, "UTF-8"))), 64 - HASH_BITS)
-    base = written(
+    rows = written(
         docs.select(
-            "doc_id", size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), hashed.alias("tie"),
-            F.col("doc_id").cast("double").alias("v0"), _code("lang").alias("v1"), _code("source").alias("v2"),
-            F.lit(1).alias("node"),
+            F.col("doc_id").cast("long"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), "lang", "source", F.monotonically_increasing_id().alias("row")
         ),
-        "kd_points",
+        "kd_rows",
     )
+    # Rows that are equal in all of this get a number each; the others have number 0.
+    same = ["doc_id", "size", "text_crc32", "lang", "source"]
+    again = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    key = F.xxhash64(*same)
+    numbers = _numbered(rows.select("row", key.alias("key"), *same).join(again.select(key.alias("key")), "key", "left_semi"), ["key"], ["row"], F.xxhash64("row"))
+    rows = rows.join(numbers.select("row", "number"), "row", "left")
+    tie = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", F.coalesce("number", F.lit(0))), 64 - HASH_BITS)
+    for column in ("lang", "source"):
+        ranks = _ranks(rows, column).select(F.col("value").alias(f"_{column}"), F.col("rank").alias(f"{column}_rank"))
+        rows = rows.join(ranks, F.col(column).eqNullSafe(F.col(f"_{column}")), "left")
+    base = written(
+        rows.select("doc_id", "size", "text_crc32", tie.alias("tie"), F.col("doc_id").alias("v0"), F.col("lang_rank").alias("v1"), F.col("source_rank").alias("v2"), F.lit(1).alias("node")),
+        "kd_points",
+    )
     dims = range(3)
     ends = base.agg(*[f(f"v{i}").alias(f"{n}{i}") for i in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
 
+    low, high = ([ends[f"{n}{i}"] or 0 for i in dims] for n in ("lo", "hi"))
+    shift = [max(0, (high[i] - low[i] + 2).bit_length() - VALUE_BITS) for i in dims]
+    spans = [max(1, (high[i] >> shift[i]) - (low[i] >> shift[i]) + 1) for i in dims]  # ranges of the whole table
+
     def order(i: int):
-        lo, hi = ends[f"lo{i}"] or 0.0, ends[f"hi{i}"] or 0.0
-        value = F.floor((F.coalesce(f"v{i}", F.lit(lo)) - lo) / ((hi - lo) or 1.0) * ((1 << VALUE_BITS) - 1)).cast("long")
-        return F.shiftleft(value, HASH_BITS).bitwiseOR(F.col("tie"))
+        """The value's place in the table's range, a null's is 0, in at most VALUE_BITS bits; then the tie."""
+        lo, less = low[i], shift[i]
+        place = F.coalesce(F.shiftright(f"v{i}", less) - (lo >> less) + 1, F.lit(0))
+        return F.shiftleft(place, HASH_BITS).bitwiseOR(F.col("tie"))
 
-    placed = base.select("node", "doc_id", "size", "text_crc32", *[order(i).alias(f"c{i}") for i in dims])
+    placed = base.select("node", "doc_id", "size", "text_crc32", "tie", *[order(i).alias(f"c{i}") for i in dims])
     nodes = {1: (0, shards)}  # open nodes: first shard, number of shards
     leaves: dict[int, int] = {}
     while open_nodes := {n: x for n, x in nodes.items() if x[1] > 1}:
         leaves |= {n: x[0] for n, x in nodes.items() if x[1] == 1}
-        cuts = _cut_level(spark, placed, open_nodes)
+        cuts = _cut_level(spark, placed, open_nodes, spans)
         nodes = {}
         for n, (first, k) in open_nodes.items():
             nodes |= {2 * n: (first, k // 2), 2 * n + 1: (first + k // 2, k - k // 2)}
@@ -75,7 +110,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFram
         placed = placed.withColumn("node", child).drop("dim", "cut")
     leaves |= {n: x[0] for n, x in nodes.items()}
     names = _values(spark, "node, shard", [(n, s) for n, s in leaves.items()])
-    out = placed.join(F.broadcast(names), "node").select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"))
+    out = placed.join(F.broadcast(names), "node").select("doc_id", "size", "text_crc32", "tie", F.col("shard").cast("int").alias("shard"))
     return with_slots(out)
 
 
@@ -84,7 +119,7 @@ def _values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
 
 
-def _cut_level(spark: SparkSession, placed: DataFrame, open_nodes: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
+def _cut_level(spark: SparkSession, placed: DataFrame, open_nodes: dict[int, tuple[int, int]], spans: list[int]) -> dict[int, tuple[int, int]]:
     """Widest dimension and cut (first order value of the right side) of each open node."""
     inside = placed.where(F.col("node").isin(*open_nodes))
     stats = inside.groupBy("node").agg(
@@ -93,7 +128,7 @@ def _cut_level(spark: SparkSession, placed: DataFrame, open_nodes: dict[int, tup
     state = {}
     for r in stats.collect():
         k = open_nodes[r["node"]][1]
-        wide = max(range(3), key=lambda i: ((r[f"hi{i}"] >> HASH_BITS) - (r[f"lo{i}"] >> HASH_BITS), -i))
+        wide = max(range(3), key=lambda i: (((r[f"hi{i}"] >> HASH_BITS) - (r[f"lo{i}"] >> HASH_BITS)) / spans[i], -i))
         state[r["node"]] = {
             "dim": wide, "lo": r[f"lo{wide}"], "hi": r[f"hi{wide}"] + 1,
             "goal": r["bytes"] * (k // 2) / k, "fine": r["bytes"] / k * TOLERANCE,
@@ -128,14 +163,9 @@ def _cut_level(spark: SparkSession, placed: DataFrame, open_nodes: dict[int, tup
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
-    """Gapless slots from 0 in each shard: parts of a shard are numbered apart, then offset."""
-    p = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_PARTS)))
-    counts = p.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    own = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
-    p = p.withColumn("place", F.row_number().over(own)).join(counts, ["shard", "part"])
-    return p.withColumn("slot", (F.col("offset") + F.col("place") - 1).cast("long")).drop("part", "place", "offset")
+    """Gapless slots from 0 in each shard."""
+    order = ["doc_id", "text_crc32", "size", "tie"]
+    return _numbered(placed, ["shard"], order, F.xxhash64("doc_id", "tie")).withColumnRenamed("number", "slot").drop("tie")
 
 
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
