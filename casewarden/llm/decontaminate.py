@@ -1,20 +1,21 @@
-"""Benchmark decontamination with a hash set of normalised test n-grams.
+"""Benchmark decontamination with a broadcast hash set of normalised test n-grams.
 
-Training token windows are scanned in place: the 64-bit hash of every window of words is looked
-up in the set of the benchmark's window hashes, which is part of the plan and so reaches every
-task. Windows that hit are then verified in full, as text, by a join with the benchmark's
-windows (broadcast after a check of their size). Hit word ranges are united per document.
+Training token windows are scanned: the 64-bit hash of every window of words is looked up in the
+broadcast set of the benchmark's window hashes, within the task that reads the document. Only
+windows that hit leave it. They are then verified in full, as text: their documents are read again, and
+their windows joined with the benchmark's. Hit word ranges are united per document.
 
-The hash set holds at most ``MAX_SET`` hashes. For a larger benchmark the same job runs without
-that filter: all windows are then compared as text in a shuffled join, and nothing is dropped.
+A set of up to ``MAX_BROADCAST_BYTES`` is broadcast (16 bytes a hash), one beyond that is joined in a
+shuffle of the windows' hashes; nothing else changes. The benchmark's windows as text likewise.
 
 Hashes are taken of upper-cased words. Upper-casing works character by character and maps A-Z
 and a-z together, so words that are equal after lower-casing A-Z always meet; the verification
 compares words with only A-Z lower-cased.
 
 Defined results: null or empty texts have no words; an item of fewer than ``window`` words, but
-not none, is one window; repeated rows each get their row; other columns are ignored. Rows with
-equal doc_id and different texts are scanned apart.
+not none, is one window; an empty benchmark hits nothing, an empty table gives no rows; repeated rows
+each get their row; very long texts are scanned whole; other columns are ignored. Rows with equal
+doc_id and different texts are scanned apart.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casewarden.storage import written
+
 #: Fixed by the contract: what separates words.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same in upper-cased text, where letters are A-Z.
 NOT_UPPER_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
-MAX_SET = 200_000
 MAX_BROADCAST_BYTES = 64 << 20
 
 
@@ -46,12 +48,10 @@ def _window_hash(hashes: str, length: int) -> str:
     return "xxhash64(" + ", ".join(f"get({hashes}, i + {k})" for k in range(length)) + ")"
 
 
-def _starts(hashes: str, length: int, known: list[int] | None) -> Column:
-    """Starts and length of the windows whose hash is known (all windows if known is None)."""
+def _windows(hashes: str, length: int) -> Column:
+    """Start, length and hash of all windows of so many words."""
     rows = f"if(size({hashes}) >= {length}, sequence(0, size({hashes}) - {length}), array())"
-    if known is not None:
-        rows = f"filter({rows}, i -> {_window_hash(hashes, length)} IN ({', '.join(f'{x}L' if x > -(2**63) else 'bigint(-9223372036854775808)' for x in known)}))"
-    return F.expr(f"transform({rows}, i -> struct(int(i) AS start, {length} AS len))")
+    return F.expr(f"transform({rows}, i -> struct(int(i) AS start, {length} AS len, {_window_hash(hashes, length)} AS hash))")
 
 
 def _window_text(word_array: str) -> Column:
@@ -82,32 +82,36 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return g.groupBy("gram", "len", "gram_hash").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) ->
     doc_id, text_hash, n_words, n_hit, items (sorted item ids), one row per document row."""
-    grams = benchmark_windows(benchmark, window)
+    grams = written(benchmark_windows(benchmark, window), "grams")
     seen = grams.groupBy("len").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("gram") + 16 * F.size("items") + 16).alias("bytes")
     ).collect()
     lengths, n = sorted(r["len"] for r in seen), sum(r["n"] for r in seen)
-    known: dict[int, list[int] | None] = dict.fromkeys(lengths)
-    if n <= MAX_SET:
-        rows = grams.select("len", "gram_hash").distinct().collect()
-        known = {x: sorted(r["gram_hash"] for r in rows if r["len"] == x) for x in lengths}
-    table = grams.select("gram", "items")
-    if sum(r["bytes"] for r in seen) <= MAX_BROADCAST_BYTES:
+    known, table = grams.select(F.col("gram_hash").alias("hash"), F.lit(True).alias("known")).distinct(), grams.select("gram", "items")
+    if 16 * n <= most:
+        known = F.broadcast(known)
+    if sum(r["bytes"] for r in seen) <= most:
         table = F.broadcast(table)
 
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), _hash_words(F.col("text")).alias("u"))
-    d = d.select("doc_id", "text", "text_hash", F.size("u").cast("long").alias("n_words"), F.transform("u", lambda x: F.xxhash64(x)).alias("h"))
-    none = F.expr("cast(array() AS array<struct<start: int, len: int>>)")
-    found = F.concat(none, *[_starts("h", x, known[x]) for x in lengths])
-    d = d.select("doc_id", "text", "text_hash", "n_words", found.alias("found"))
-    d = d.withColumn("w", F.when(F.size("found") > 0, words(F.col("text"))))
-    first = F.expr("array(struct(-1 AS start, 0 AS len, cast(null AS string) AS gram))")
-    d = d.select("doc_id", "text_hash", "n_words", F.explode(F.concat(first, _window_text("w"))).alias("c"))
-    hits = d.select("doc_id", "text_hash", "n_words", "c.start", "c.len", "c.gram").join(table, "gram", "left")
-    hits = hits.where((F.col("len") == 0) | F.col("items").isNotNull())
+    # Windows whose hash is known, and one row of start -1 for the document itself.
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _hash_words(F.col("text")).alias("u"))
+    d = d.select("doc_id", "text_hash", F.size("u").cast("long").alias("n_words"), F.transform("u", lambda x: F.xxhash64(x)).alias("h"))
+    own = F.expr("array(struct(-1 AS start, 0 AS len, cast(null AS bigint) AS hash))")
+    d = d.select("doc_id", "text_hash", "n_words", F.explode(F.concat(own, *[_windows("h", x) for x in lengths])).alias("c"))
+    d = d.select("doc_id", "text_hash", "n_words", "c.start", "c.len", "c.hash").join(known, "hash", "left")
+    found = written(d.where("start < 0 OR known").select("doc_id", "text_hash", "n_words", "start", "len"), "windows")
+
+    some = found.where("start >= 0").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "len")).alias("found"))
+    some = some.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "found")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = texts.join(some, texts["doc_id"].eqNullSafe(some["_id"]) & (texts["text_hash"] == some["_hash"]))
+    texts = texts.select("doc_id", "text_hash", "found", words(F.col("text")).alias("w"))
+    hits = texts.select("doc_id", "text_hash", F.explode(_window_text("w")).alias("c")).select("doc_id", "text_hash", "c.start", "c.len", "c.gram").join(table, "gram")
+    rows = found.where("start < 0").select("doc_id", "text_hash", "n_words", "start", "len", F.lit(None).cast("array<string>").alias("items"))
+    hits = rows.unionByName(hits.select("doc_id", "text_hash", F.lit(None).cast("long").alias("n_words"), "start", "len", "items"))
 
     doc = Window.partitionBy("doc_id", "text_hash")
     before = doc.orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,7 +119,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     reach = F.greatest(F.coalesce(F.max(end).over(before), F.lit(0)), F.lit(0))
     hits = hits.withColumn("covered", F.greatest(end - F.greatest(F.col("start"), reach), F.lit(0)))
     out = hits.groupBy("doc_id", "text_hash").agg(
-        F.first("n_words").alias("n_words"),
+        F.max("n_words").alias("n_words"),
         F.sum("covered").cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.count_if(F.col("len") == 0).alias("copies"),
