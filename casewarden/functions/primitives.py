@@ -33,8 +33,6 @@ PRIMITIVES = {
     "join_anti_not_exists": lambda t: t["accounts"].join(t["transactions"].select(c("from_account_id").alias("account_id")), "account_id", "left_anti").select("account_id"),
     "join_coalesced_key": lambda t: t["transactions"].select("transaction_id", F.coalesce("to_account_id", "from_account_id").alias("account_id"))
     .join(t["accounts"], "account_id").select("transaction_id", "country"),
-    "join_ledger_link": lambda t: t["decisions"].alias("d").join(t["audit"].alias("a"), (c("d.case_id") == c("a.case_id")) & (F.to_date("d.decided_at") < F.to_date("a.event_ts")) & (c("a.actor_type") == "HUMAN") & (c("a.event_type") == "ERROR"))
-    .groupBy("decision_id").agg(F.count(F.lit(1)).alias("n")),
     "agg_count_sum_group": lambda t: t["transactions"].groupBy("transaction_type").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents")),
     "agg_count_distinct": lambda t: t["signals"].groupBy("ip_address").agg(F.count_distinct("account_id").alias("accounts"), F.count_distinct("device_id").alias("devices")),
     "agg_conditional_sum": lambda t: t["transactions"].groupBy("from_account_id").agg(F.sum(F.when(c("transaction_type").isin("TRANSFER", "CARD"), c("cents")).otherwise(0)).alias("cents")),
@@ -71,7 +69,10 @@ PRIMITIVES = {
     "fn_string_split_list": lambda t: t["documents"].select("document_id", F.size(F.split(F.nullif(F.array_join("risk_indicators", ","), F.lit("")), ",")).alias("n")),
     "fn_string_like": lambda t: t["messages"].where(F.lower("message_text").contains("th")).select("message_id"),
     "fn_ts_format": lambda t: t["signals"].select("signal_id", F.date_format("observed_at", "yyyy-MM-dd HH:mm").alias("shown")),
-    "fn_ts_add_diff": lambda t: t["transactions"].select("transaction_id", F.expr("ts + INTERVAL 24 HOURS").alias("until"), F.expr("datediff(ts + INTERVAL 30 HOURS, ts)").alias("days")),
+    "fn_ts_add_diff": lambda t: t["signals"].groupBy("account_id").agg(F.min("observed_at").alias("first"), F.max("observed_at").alias("last")).select(
+        "account_id", F.expr("last + INTERVAL 24 HOURS").alias("until"), F.expr("datediff(last, first)").alias("days"),
+        F.expr("timestampdiff(HOUR, date_trunc('HOUR', first), date_trunc('HOUR', last))").alias("hours"),
+    ),
     "fn_math_round_least": lambda t: t["transactions"].select("transaction_id", F.round(c("cents").cast("double") / 700, 2).alias("r"), F.least(F.lit(100_000), "cents").alias("capped")),
     "fn_array_size_guard": lambda t: t["documents"].select("document_id", (F.size("risk_indicators") > 0).alias("risky")),
     "fn_array_compact": lambda t: t["accounts"].select("account_id", F.array_join(F.array_compact(F.array("sector", "country")), "|").alias("known")),

@@ -73,10 +73,12 @@ def account_control(alerts: DataFrame, accounts: DataFrame, signals: DataFrame,
     return g.withColumn("detected", hit).withColumn("points", F.when(hit, points).otherwise(0))
 
 
-def worker_flows(alerts: DataFrame, tx: DataFrame) -> DataFrame:
+def worker_flows(alerts: DataFrame, tx: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """What wage recipients (``at``, if known) send, by kind."""
     out = tx.select(F.col("from_account_id").alias("worker_id"), "transaction_type", "cents")
     moved = F.col("transaction_type").isin("TRANSFER", "CASH_WITHDRAWAL")
-    return workers(alerts, tx).join(out, "worker_id").groupBy("case_id", "worker_id").agg(
+    at = workers(alerts, tx) if at is None else at
+    return at.join(out, "worker_id").groupBy("case_id", "worker_id").agg(
         F.sum(F.when(moved, F.col("cents")).otherwise(0)).alias("moved_cents"),
         F.sum(F.when(F.col("transaction_type") == "CARD", F.col("cents")).otherwise(0)).alias("card_cents"),
         F.sum("cents").alias("outgoing_cents"),
@@ -94,9 +96,11 @@ def spending_anomaly(flows: DataFrame, min_ratio: float = 0.80, min_workers: int
     return g.withColumn("detected", hit).withColumn("points", F.when(hit, points).otherwise(0))
 
 
-def corridors(alerts: DataFrame, accounts: DataFrame, tx: DataFrame) -> DataFrame:
+def corridors(alerts: DataFrame, accounts: DataFrame, tx: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """Countries of wage recipients (``at``, if known) other than the employer's."""
+    at = workers(alerts, tx) if at is None else at
     home = alerts.select("case_id", "account_id").join(accounts.select("account_id", F.col("country").alias("employer_country")), "account_id")
-    away = workers(alerts, tx).join(accounts.select(F.col("account_id").alias("worker_id"), F.col("country").alias("worker_country")), "worker_id")
+    away = at.join(accounts.select(F.col("account_id").alias("worker_id"), F.col("country").alias("worker_country")), "worker_id")
     both = home.select("case_id", "employer_country").join(away.select("case_id", "worker_country"), "case_id")
     return both.where("employer_country <> worker_country").distinct()
 

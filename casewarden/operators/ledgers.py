@@ -1,6 +1,6 @@
-"""Snapshots, upserts, validation and append-only ledgers.
+"""Upserts, validation and append-only ledgers.
 
-Every function returns a new DataFrame; the caller writes it. Identifiers are functions of the
+Functions return a new DataFrame; ``sources.keyed_table`` writes them. Identifiers are functions of the
 business key, so applying the same input twice changes nothing.
 """
 
@@ -43,10 +43,32 @@ def update_where(df: DataFrame, condition: Column, values: dict[str, Column]) ->
     return df.select(*[F.when(condition, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
 
 
-def not_null_violations(df: DataFrame, key: str, required: list[str]) -> DataFrame:
-    """(key, reason): one row per row and missing column."""
-    reasons = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in required]))
-    return df.select(F.col(key), F.explode(reasons).alias("reason"))
+def checked(df: DataFrame, required: list[str] = (), key: list[str] = ()) -> DataFrame:
+    """``df`` with ``reasons``: what is wrong with a row, none for valid rows.
+
+    Required and key columns must not be null, and a key must occur once. Keys that occur more often are
+    few columns wide and counted with partial sums; no task gets all the rows of one.
+    """
+    needed = [*key, *[c for c in required if c not in key]]
+    reasons = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in needed]).cast("array<string>"))
+    if not key:
+        return df.withColumn("reasons", reasons)
+    again = duplicate_keys(df, key).select(*[F.col(k).alias(f"_{k}") for k in key], "copies")
+    same = F.lit(True)
+    for k in key:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    copies = F.when(F.col("copies").isNotNull(), F.array(F.concat(F.lit(f"{', '.join(key)} occurs "), F.col("copies").cast("string"), F.lit(" times"))))
+    return df.join(again, same, "left").withColumn("reasons", F.concat(reasons, F.coalesce(copies, F.array().cast("array<string>")))).select(*df.columns, "reasons")
+
+
+def valid_rows(rows: DataFrame) -> DataFrame:
+    """Rows of ``checked`` that nothing is wrong with."""
+    return rows.where(F.size("reasons") == 0).drop("reasons")
+
+
+def violations(rows: DataFrame, *columns: str) -> DataFrame:
+    """(columns, reason): one row for each thing wrong with a row of ``checked``."""
+    return rows.select(*columns, F.explode("reasons").alias("reason"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,7 +87,7 @@ def decision_audit(decisions: DataFrame) -> DataFrame:
     return decisions.select(
         F.concat(F.lit("AUD-"), "decision_id").alias("audit_event_id"), "case_id", F.col("decided_at").alias("event_ts"), F.lit("HUMAN").alias("actor_type"),
         F.col("reviewer_name").alias("actor_name"), F.lit("REVIEWER_DECISION").alias("event_type"),
-        F.concat("decision", F.lit(": "), "rationale").alias("event_detail"), F.col("decision_id").alias("object_id"),
+        F.concat("decision", F.lit(": "), "rationale").alias("event_detail"), F.lit("DECISION").alias("object_type"), F.col("decision_id").alias("object_id"),
     )
 
 
@@ -96,9 +118,15 @@ def checked_executions(requests: DataFrame, alerts: DataFrame, agents: tuple[str
     return requests.join(known, "case_id", "left").withColumn("reason", reason).drop("_case")
 
 
+def linked_decisions(decisions: DataFrame, audit: DataFrame, how: str = "inner") -> DataFrame:
+    """Decisions with the audit row of a human that names them as its object and their reviewer as its actor."""
+    a = audit.where("object_type = 'DECISION' AND actor_type = 'HUMAN'").select("audit_event_id", "object_id", "actor_name")
+    return decisions.join(a, (F.col("object_id") == F.col("decision_id")) & (F.col("actor_name") == F.col("reviewer_name")), how)
+
+
 def ledger_links(decisions: DataFrame, audit: DataFrame) -> DataFrame:
     """Decisions, their audit rows, and pairs that agree on object and actor: one row."""
-    linked = decisions.join(audit, (F.col("object_id") == F.col("decision_id")) & (F.col("actor_name") == F.col("reviewer_name")), "left")
+    linked = linked_decisions(decisions, audit, "left")
     return linked.agg(
         F.count_distinct("decision_id").alias("decisions"), F.count("audit_event_id").alias("linked"), F.bool_or(F.col("decision") == "ESCALATE_TO_SAR").alias("any_escalated")
     )

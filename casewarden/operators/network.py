@@ -11,24 +11,37 @@ from casewarden.operators.detectors import workers
 EXTERNAL = "EXTERNAL_CASH"
 
 
-def _next_hop(rows: DataFrame, tx: DataFrame) -> DataFrame:
-    step = tx.where("transaction_type = 'TRANSFER' AND to_account_id IS NOT NULL").select(
-        F.col("from_account_id").alias("account_id"), F.col("to_account_id").alias("next")
-    ).distinct()
-    return rows.join(step, "account_id").select("case_id", F.col("next").alias("account_id")).distinct()
+#: Members of a group that are paired within one task.
+TILE = 512
 
 
-def controllers(alerts: DataFrame, tx: DataFrame) -> DataFrame:
-    return _next_hop(workers(alerts, tx).withColumnRenamed("worker_id", "account_id"), tx)
+def transfer_steps(tx: DataFrame) -> DataFrame:
+    """(account_id, next): accounts and those they ever transferred to."""
+    step = tx.where("transaction_type = 'TRANSFER' AND to_account_id IS NOT NULL")
+    return step.select(F.col("from_account_id").alias("account_id"), F.col("to_account_id").alias("next")).distinct()
 
 
-def network_members(alerts: DataFrame, tx: DataFrame, hops: int = 2) -> DataFrame:
-    """Wage recipients and whoever their transfers reach in ``hops`` steps, once per case."""
-    at = workers(alerts, tx).withColumnRenamed("worker_id", "account_id")
-    members = at
+def _next_hop(rows: DataFrame, steps: DataFrame) -> DataFrame:
+    return rows.join(steps, "account_id").select("case_id", F.col("next").alias("account_id")).distinct()
+
+
+def _recipients(alerts: DataFrame, tx: DataFrame, at: DataFrame | None) -> DataFrame:
+    return (workers(alerts, tx) if at is None else at).select("case_id", F.col("worker_id").alias("account_id"))
+
+
+def controllers(alerts: DataFrame, tx: DataFrame, at: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
+    """Whom wage recipients (``at``, if known) transfer to."""
+    return _next_hop(_recipients(alerts, tx, at), transfer_steps(tx) if steps is None else steps)
+
+
+def network_members(alerts: DataFrame, tx: DataFrame, hops: int = 2, at: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
+    """Wage recipients (``at``, if known) and whoever their transfers reach in ``hops`` steps, once per case."""
+    reached = _recipients(alerts, tx, at)
+    steps = transfer_steps(tx) if steps is None else steps
+    members = reached
     for _ in range(hops):
-        at = _next_hop(at, tx)
-        members = members.unionByName(at)
+        reached = _next_hop(reached, steps)
+        members = members.unionByName(reached)
     return members.distinct()
 
 
@@ -49,19 +62,38 @@ def onward_edges(members: DataFrame, control: DataFrame, tx: DataFrame) -> DataF
     return e.select("case_id", F.col("account_id").alias("source"), "target", kind.alias("relationship_type"), "event_count", "total_cents")
 
 
-def shared_access_edges(members: DataFrame, signals: DataFrame) -> DataFrame:
-    """Unordered pairs of a case's members on one device and address, any login result. Output is
-    n (n - 1) / 2 per case and group of n members: the feature itself, within one case."""
+def pairs_within(rows: DataFrame, group: list[str], member: str, tile: int = TILE) -> DataFrame:
+    """Unordered pairs of each group's members, source < target. ``rows`` are distinct; null members have no pairs.
+
+    Members of a large group are dealt to tiles by a hash, and every two tiles (and each tile with
+    itself) meet under a key of their own: n members make (n / tile)**2 / 2 keys of at most about
+    2 * tile rows, not one of n. A group that fits one tile is one key.
+    """
+    rows = rows.where(F.col(member).isNotNull())
+    size = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_tiles"))
+    dealt = rows.join(size, group).withColumn("_own", F.pmod(F.xxhash64(member), F.col("_tiles")).cast("int"))
+    low = dealt.select(*group, F.col(member).alias("_a"), F.col("_own").alias("_low"), F.explode(F.sequence("_own", F.col("_tiles") - 1)).alias("_high"))
+    high = dealt.select(*group, F.col(member).alias("_b"), F.col("_own").alias("_high"), F.explode(F.sequence(F.lit(0), "_own")).alias("_low"))
+    pairs = low.join(high, [*group, "_low", "_high"]).where((F.col("_low") < F.col("_high")) | (F.col("_a") < F.col("_b")))
+    return pairs.select(*group, F.least("_a", "_b").alias("source"), F.greatest("_a", "_b").alias("target"))
+
+
+def shared_access_pairs(members: DataFrame, signals: DataFrame, tile: int = TILE) -> DataFrame:
+    """Pairs of a case's members on one device and address, any login result. Output is n (n - 1) / 2
+    per case and group of n members: the feature itself, within one case."""
     seen = members.join(signals.select("account_id", "device_id", "ip_address").distinct(), "account_id")
-    a = seen.select("case_id", "device_id", "ip_address", F.col("account_id").alias("source"))
-    b = seen.select("case_id", "device_id", "ip_address", F.col("account_id").alias("target"))
-    pairs = a.join(b, ["case_id", "device_id", "ip_address"]).where("source < target").select("case_id", "source", "target").distinct()
+    return pairs_within(seen, ["case_id", "device_id", "ip_address"], "account_id", tile)
+
+
+def shared_access_edges(members: DataFrame, signals: DataFrame, tile: int = TILE) -> DataFrame:
+    """Each pair of a case's members that shares any device and address, once."""
+    pairs = shared_access_pairs(members, signals, tile).select("case_id", "source", "target").distinct()
     return pairs.select("*", F.lit("SHARED_DEVICE_IP").alias("relationship_type"), F.lit(1).cast("long").alias("event_count"), F.lit(0).cast("long").alias("total_cents"))
 
 
-def case_network(alerts: DataFrame, tx: DataFrame, signals: DataFrame) -> DataFrame:
-    members = network_members(alerts, tx)
-    onward = onward_edges(members, controllers(alerts, tx), tx)
+def case_network(alerts: DataFrame, tx: DataFrame, signals: DataFrame, members: DataFrame | None = None, control: DataFrame | None = None) -> DataFrame:
+    members = network_members(alerts, tx) if members is None else members
+    onward = onward_edges(members, controllers(alerts, tx) if control is None else control, tx)
     return payroll_edges(alerts, tx).unionByName(onward).unionByName(shared_access_edges(members, signals))
 
 

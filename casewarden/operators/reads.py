@@ -14,6 +14,12 @@ def triage_queue(alerts: DataFrame, accounts: DataFrame, risk: DataFrame) -> Dat
     return q.orderBy(F.col("risk_score").desc_nulls_last(), "case_id")
 
 
+def case_signals(signals: DataFrame) -> DataFrame:
+    """A case's signals, most points first, then by name."""
+    s = signals.select("case_id", "signal_type", "detected", "points")
+    return s.repartition("case_id").sortWithinPartitions("case_id", F.col("points").desc(), "signal_type")
+
+
 def case_documents(docs: DataFrame) -> DataFrame:
     d = docs.select("case_id", "document_id", "document_type", "confidence", F.array_join("risk_indicators", ", ").alias("indicators"), "uploaded_seq")
     return d.repartition("case_id").sortWithinPartitions("case_id", "uploaded_seq")

@@ -94,18 +94,21 @@ def case_countries(case_tx: DataFrame, tx: DataFrame) -> DataFrame:
     return c.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("counterparty_country")), ", ").alias("countries"))
 
 
-def answer_network(alerts: DataFrame, summary: DataFrame) -> DataFrame:
-    """Edges by kind, most frequent first. summary: case_id, relationship_type, edges."""
+def answer_network(alerts: DataFrame, summary: DataFrame, control: DataFrame) -> DataFrame:
+    """Edges by kind, most frequent first, then who shares a login. summary: case_id, relationship_type, edges; control: account-control signals."""
     kinds = F.array_sort(F.collect_list(F.struct((-F.col("edges")).alias("less"), "relationship_type")))
     s = summary.groupBy("case_id").agg(F.sum("edges").alias("n"), F.array_join(F.transform(kinds, lambda k: _text(k["relationship_type"], " (", -k["less"], ")")), ", ").alias("kinds"))
-    rows = alerts.select("case_id").join(s, "case_id", "left")
-    return _answers(rows, {"all": _text(F.coalesce("n", F.lit(0)), " edges: ", F.coalesce("kinds", F.lit("none")), ".")})
+    rows = alerts.select("case_id").join(s, "case_id", "left").join(control.select("case_id", "shared_accounts", "device_id", "ip_address", "detected"), "case_id", "left")
+    shared = _text(F.col("shared_accounts"), " accounts log in from ", F.col("device_id"), " at ", F.col("ip_address"), ".")
+    shown = F.when(F.col("detected"), shared).otherwise("No sign of common control.")
+    return _answers(rows, {"all": _text(F.coalesce("n", F.lit(0)), " edges: ", F.coalesce("kinds", F.lit("none")), ". ", shown)})
 
 
 def answer_evidence(brief: DataFrame, document_points: DataFrame, intelligence: DataFrame) -> DataFrame:
-    """What is open, or how many documents and matches of high risk there are."""
-    rows = brief.select("case_id", "missing_evidence").join(document_points.select("case_id", "documents"), "case_id").join(intelligence.select("case_id", "high_hits"), "case_id")
-    review = _text(F.col("documents"), " documents, ", F.col("high_hits"), " matches of high risk.")
+    """What is open, or what is on file: documents and how many are reviewed, list matches and how many are of high risk, the evidence."""
+    rows = brief.select("case_id", "missing_evidence", "evidence_summary").join(document_points.select("case_id", "documents", "reviewed"), "case_id")
+    rows = rows.join(intelligence.select("case_id", "matches", "high_hits"), "case_id")
+    review = _text(F.col("documents"), " documents (", F.col("reviewed"), " reviewed), ", F.col("matches"), " list matches (", F.col("high_hits"), " of high risk). ", F.col("evidence_summary"))
     return _answers(rows, {"gap": _text("Open: ", F.col("missing_evidence")), "review": review})
 
 
@@ -136,6 +139,10 @@ PAYLOAD = "status string, content array<struct<type: string, text: string, tool_
 TOOLS = {"risk_explanation": "risk", "typology_detection": "typology", "network_intelligence": "network", "evidence_review": "evidence", "case_brief": "brief"}
 
 
+#: Phrases by which a text tells that its analysis failed.
+FAILURES = ("cannot complete", "failed", "sql compilation error", "no valid data", "time limit", "analysis may be incomplete")
+
+
 def tool_trace(responses: DataFrame) -> DataFrame:
     """responses (message_id, payload JSON) -> status, text parts, distinct tools in order, their specialists.
 
@@ -151,6 +158,23 @@ def tool_trace(responses: DataFrame) -> DataFrame:
     )
 
 
-def trace_quality(trace: DataFrame) -> DataFrame:
-    """Per status: responses, those without text, those without tools."""
-    return trace.groupBy("status").agg(F.count(F.lit(1)).alias("responses"), F.count_if(F.col("text_parts") == 0).alias("without_text"), F.count_if(F.col("tools") == "").alias("without_tools"))
+def trace_quality(responses: DataFrame, phrases: tuple[str, ...] = FAILURES, score: str = "92", expected: int = len(TOOLS)) -> DataFrame:
+    """Per status: responses, their texts, texts that tell of a failure or name the score, tools, and sound responses.
+
+    A response is sound if it is completed, has a text, called all ``expected`` tools, mentions the score and
+    tells of no failure. Malformed payloads have no parts and are counted.
+    """
+    o = F.from_json("payload", PAYLOAD, {"mode": "PERMISSIVE"})
+    parts = F.coalesce(F.col("o.content"), F.expr("array()").cast("array<struct<type: string, text: string, tool_use: struct<name: string>>>"))
+    texts = F.filter(F.transform(F.filter("parts", lambda c: c["type"] == "text"), lambda c: c["text"]), lambda x: F.length(x) > 0)
+    names = F.array_distinct(F.filter(F.transform("parts", lambda c: c["tool_use"]["name"]), lambda n: n.isNotNull()))
+    r = responses.select(o.alias("o")).select(F.coalesce("o.status", F.lit("malformed")).alias("status"), parts.alias("parts")).select("status", texts.alias("texts"), names.alias("names"))
+    failed = F.size(F.filter("texts", lambda x: F.lower(x).rlike("|".join(phrases))))
+    scored = F.size(F.filter("texts", lambda x: x.contains(score)))
+    r = r.select("status", "names", F.size("texts").alias("n"), failed.alias("failed"), scored.alias("scored"))
+    sound = (F.col("status") == "completed") & (F.col("n") > 0) & (F.size("names") == expected) & (F.col("failed") == 0) & (F.col("scored") > 0)
+    tools = F.array_sort(F.array_distinct(F.flatten(F.collect_set("names"))))
+    return r.groupBy("status").agg(
+        F.count(F.lit(1)).alias("responses"), F.sum("n").alias("text_parts"), F.count_if(F.col("n") == 0).alias("without_text"), F.count_if(F.size("names") == 0).alias("without_tools"),
+        F.sum("failed").alias("failure_texts"), F.sum("scored").alias("score_mentions"), F.size(tools).alias("distinct_tools"), F.array_join(tools, ", ").alias("tools_used"), F.count_if(sound).alias("sound"),
+    )

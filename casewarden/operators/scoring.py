@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewarden.operators import detectors as D
 from casewarden.operators import network as N
 
 #: Signal names, bands and routes.
@@ -15,19 +14,6 @@ TYPES = ("WAGE_HARVESTING", "ACCOUNT_CONTROL", "SPENDING_ANOMALY", "GEOGRAPHIC_R
 VERSION = "additive-v1"
 
 
-def signal_tables(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    members = N.network_members(t["alerts"], t["transactions"])
-    return {
-        "WAGE_HARVESTING": D.wage_harvesting(D.onward_transfers(t["alerts"], t["transactions"])),
-        "ACCOUNT_CONTROL": D.account_control(t["alerts"], t["accounts"], t["signals"]),
-        "SPENDING_ANOMALY": D.spending_anomaly(D.worker_flows(t["alerts"], t["transactions"])),
-        "GEOGRAPHIC_RISK": D.geographic_risk(
-            D.corridors(t["alerts"], t["accounts"], t["transactions"]), D.foreign_cash(members, t["alerts"], t["accounts"], t["transactions"])
-        ),
-        "SECTOR_RISK": D.sector_risk(t["alerts"], t["accounts"], t["kyc"]),
-    }
-
-
 def all_signals(tables: dict[str, DataFrame]) -> DataFrame:
     parts = [x.select("case_id", F.lit(name).alias("signal_type"), "detected", "points") for name, x in tables.items()]
     return reduce(DataFrame.unionByName, parts)
@@ -45,17 +31,18 @@ def case_entities(alerts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def intelligence_points(alerts: DataFrame, entities: DataFrame, watchlist: DataFrame, points: int = 4) -> DataFrame:
     real = entities.where(F.col("account_id") != N.EXTERNAL)
-    high = watchlist.where("risk_level = 'HIGH'").select(F.col("matched_account_id").alias("account_id"))
-    g = real.join(high, "account_id").groupBy("case_id").agg(F.count(F.lit(1)).alias("high_hits"))
+    listed = watchlist.select(F.col("matched_account_id").alias("account_id"), "risk_level")
+    g = real.join(listed, "account_id").groupBy("case_id").agg(F.count(F.lit(1)).alias("matches"), F.count_if(F.col("risk_level") == "HIGH").alias("high_hits"))
     g = alerts.select("case_id").join(g, "case_id", "left").na.fill(0)
     return g.withColumn("points", F.when(F.col("high_hits") > 0, points).otherwise(0))
 
 
 def document_points(alerts: DataFrame, docs: DataFrame, min_risky: int = 3, points: int = 4) -> DataFrame:
     g = docs.groupBy("case_id").agg(
-        F.count_distinct("document_id").alias("documents"), F.count_if(F.size("risk_indicators") > 0).alias("risky"), F.min("confidence").alias("min_confidence")
+        F.count_distinct("document_id").alias("documents"), F.count_if(F.size("risk_indicators") > 0).alias("risky"), F.min("confidence").alias("min_confidence"),
+        F.count_if(F.col("review_status") == "REVIEWED").alias("reviewed"),
     )
-    g = alerts.select("case_id").join(g, "case_id", "left").na.fill(0, ["documents", "risky"])
+    g = alerts.select("case_id").join(g, "case_id", "left").na.fill(0, ["documents", "risky", "reviewed"])
     return g.withColumn("points", F.when(F.col("risky") >= min_risky, points).otherwise(0))
 
 
@@ -90,12 +77,3 @@ def risk_summary(typology: DataFrame, intel: DataFrame, docs: DataFrame, cap: in
         "case_id", "risk_score", band.alias("risk_band"), strength.alias("evidence_strength"), route.alias("recommended_route"),
         factors.alias("factors"), *parts_of, F.lit(VERSION).alias("scoring_version"),
     )
-
-
-def risk_of(t: dict[str, DataFrame]) -> DataFrame:
-    edges = N.case_network(t["alerts"], t["transactions"], t["signals"])
-    return risk_summary(
-        typology_points(t["alerts"], all_signals(signal_tables(t))),
-        intelligence_points(t["alerts"], case_entities(t["alerts"], edges), t["watchlist"]),
-        document_points(t["alerts"], t["documents"]),
-    )

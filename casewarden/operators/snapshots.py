@@ -58,19 +58,34 @@ def brief_audit_rows(brief: DataFrame, at: str = AT) -> DataFrame:
     return _audit(brief, "AUD-BRF-", "BRIEF_GENERATED", F.concat(F.lit("Brief generated: "), "recommended_action"), at)
 
 
-def message_rows(valid: DataFrame) -> DataFrame:
-    return valid.select("message_id", "case_id", "session_id", "message_ts", F.upper("message_role").alias("message_role"), "message_text")
+def source_list(names: str) -> Column:
+    """Comma-separated names as an array; none for null and empty text."""
+    return F.when(F.coalesce(names, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(names, ","))
+
+
+def message_rows(valid: DataFrame, provider: str = "RULES", grounding: str = "EVIDENCE_TABLES") -> DataFrame:
+    """Message ledger rows: who said what in which session, on which sources, made and grounded how."""
+    return valid.select(
+        "message_id", "case_id", "session_id", "message_ts", F.upper("message_role").alias("message_role"), "actor_name", "message_text",
+        source_list("sources").alias("source_objects"), F.lit(provider).alias("model_provider"), F.lit(grounding).alias("grounding_mode"),
+    )
 
 
 def execution_rows(valid: DataFrame) -> DataFrame:
-    return valid.select("execution_id", "case_id", F.lower("agent_name").alias("agent_name"), "executed_at", F.lit("COMPLETED").alias("execution_status"), "response_chars")
+    """Execution ledger rows: request and session, why the agent was asked, what it said, on which sources."""
+    return valid.select(
+        "execution_id", "request_id", "case_id", "session_id", F.lower("agent_name").alias("agent_name"), "executed_at",
+        F.lit("COMPLETED").alias("execution_status"), "routing_reason", "agent_response", source_list("sources").alias("source_objects"),
+    )
 
 
 def execution_audit(executions: DataFrame) -> DataFrame:
+    """Audit rows of execution rows; the metadata name request, session, reason, sources and status."""
+    about = F.struct("request_id", "session_id", "agent_name", "routing_reason", "source_objects", "execution_status")
     return executions.select(
         F.concat(F.lit("AUD-"), "execution_id").alias("audit_event_id"), "case_id", F.col("executed_at").alias("event_ts"), F.lit("AGENT").alias("actor_type"),
-        F.lower("agent_name").alias("actor_name"), F.lit("AGENT_EXECUTION").alias("event_type"), F.col("execution_id").alias("object_id"),
-        F.to_json(F.struct("response_chars"), {"ignoreNullFields": "false"}).alias("event_metadata"),
+        F.col("agent_name").alias("actor_name"), F.lit("AGENT_EXECUTION").alias("event_type"), F.concat("agent_name", F.lit(" answered; see the execution.")).alias("event_detail"),
+        F.lit("AGENT_EXECUTION").alias("object_type"), F.col("execution_id").alias("object_id"), F.to_json(about, {"ignoreNullFields": "false"}).alias("event_metadata"),
     )
 
 

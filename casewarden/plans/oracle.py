@@ -22,9 +22,9 @@ watch AS (SELECT 'WL-' || p_partkey AS watchlist_id, 'ACC-C-' || ((p_partkey //
   CASE WHEN p_size <= 10 THEN 'HIGH' WHEN p_size <= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, p_size AS match_strength FROM part WHERE p_partkey % 10 = 0),
 docs AS (SELECT 'DOC-' || d.doc_id AS document_id, 'CASE-' || (d.doc_id % (SELECT count(*) FROM supplier)) AS case_id,
   list_filter([CASE WHEN l.toxic = 1 THEN 'toxic_text' END, CASE WHEN l.quality = 0 THEN 'low_quality' END, CASE WHEN d.n_chars < 200 THEN 'short_document' END], lambda x: x IS NOT NULL) AS ind,
-  d.n_chars % 100 AS confidence, d.lang AS document_type, d.doc_id AS uploaded_seq FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+  d.n_chars % 100 AS confidence, d.lang AS document_type, d.doc_id AS uploaded_seq, CASE WHEN d.doc_id % 3 = 0 THEN 'REVIEWED' ELSE 'PENDING' END AS review_status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 msgs AS (SELECT 'MSG-' || conv_id || '-' || turn AS message_id, 'CASE-' || (conv_id % (SELECT count(*) FROM supplier)) AS case_id, 'SES-' || conv_id AS session_id,
-  TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 7 + turn AS INT)) AS message_ts, upper(role) AS message_role, text AS message_text FROM conversations),
+  TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 7 + turn AS INT)) AS message_ts, upper(role) AS message_role, text AS message_text, 'actor-' || (conv_id % 5) AS actor_name, CASE WHEN role = 'assistant' THEN 'risk_summary|case_network' ELSE '' END AS source_objects FROM conversations),
 decs AS (SELECT 'DEC-' || o_orderkey AS decision_id, 'CASE-' || (o_custkey % (SELECT count(*) FROM supplier)) AS case_id,
   CASE o_orderpriority[1] WHEN '1' THEN 'ESCALATE_TO_SAR' WHEN '2' THEN 'REQUEST_MORE_EVIDENCE' WHEN '3' THEN 'MONITOR_CASE' WHEN '5' THEN 'CLOSE_AS_FALSE_POSITIVE' ELSE 'AUTO_FILE_SAR' END AS decision,
   CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE 'reviewer-' || (o_custkey % 9) END AS reviewer_name, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'rationale ' || o_orderkey END AS rationale,
@@ -69,8 +69,9 @@ typ AS (SELECT a.case_id, CAST(coalesce(sum(points), 0) AS BIGINT) AS total, cou
   CAST(coalesce(max(points) FILTER (signal_type = 'ACCOUNT_CONTROL'), 0) AS INT) AS account_control, CAST(coalesce(max(points) FILTER (signal_type = 'SPENDING_ANOMALY'), 0) AS INT) AS spending_anomaly,
   CAST(coalesce(max(points) FILTER (signal_type = 'GEOGRAPHIC_RISK'), 0) AS INT) AS geographic_risk, CAST(coalesce(max(points) FILTER (signal_type = 'SECTOR_RISK'), 0) AS INT) AS sector_risk
   FROM alerts a LEFT JOIN (SELECT * FROM sigs WHERE detected) g ON g.case_id = a.case_id GROUP BY 1),
-intel AS (SELECT a.case_id, count(w.watchlist_id) AS high_hits, CASE WHEN count(w.watchlist_id) > 0 THEN 4 ELSE 0 END AS points FROM alerts a LEFT JOIN (ent JOIN (SELECT * FROM watch WHERE risk_level = 'HIGH') w ON w.matched_account_id = ent.account_id) ON ent.case_id = a.case_id GROUP BY 1),
-dpt AS (SELECT a.case_id, count(DISTINCT document_id) AS documents, count(*) FILTER (len(ind) > 0) AS risky, min(confidence) AS min_confidence, CASE WHEN count(*) FILTER (len(ind) > 0) >= 3 THEN 4 ELSE 0 END AS points FROM alerts a LEFT JOIN docs d ON d.case_id = a.case_id GROUP BY 1),
+intel AS (SELECT a.case_id, count(w.watchlist_id) AS matches, count(w.watchlist_id) FILTER (w.risk_level = 'HIGH') AS high_hits, CASE WHEN count(w.watchlist_id) FILTER (w.risk_level = 'HIGH') > 0 THEN 4 ELSE 0 END AS points
+  FROM alerts a LEFT JOIN (ent JOIN watch w ON w.matched_account_id = ent.account_id) ON ent.case_id = a.case_id GROUP BY 1),
+dpt AS (SELECT a.case_id, count(DISTINCT document_id) AS documents, count(*) FILTER (len(ind) > 0) AS risky, min(confidence) AS min_confidence, count(*) FILTER (review_status = 'REVIEWED') AS reviewed, CASE WHEN count(*) FILTER (len(ind) > 0) >= 3 THEN 4 ELSE 0 END AS points FROM alerts a LEFT JOIN docs d ON d.case_id = a.case_id GROUP BY 1),
 rsk AS (SELECT case_id, risk_score, CASE WHEN risk_score >= 90 THEN 'CRITICAL' WHEN risk_score >= 70 THEN 'HIGH' WHEN risk_score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_band,
   CASE WHEN detected_count >= 4 AND high_hits > 0 AND risky >= 3 THEN 'STRONG' WHEN detected_count >= 2 AND (high_hits > 0 OR risky > 0) THEN 'MODERATE' ELSE 'LIMITED' END AS evidence_strength,
   CASE WHEN risk_score >= 90 THEN 'ESCALATE_TO_SAR' WHEN risk_score >= 70 THEN 'REQUEST_MORE_EVIDENCE' WHEN risk_score >= 40 THEN 'MONITOR_CASE' ELSE 'CLOSE_AS_FALSE_POSITIVE' END AS recommended_route,
@@ -87,6 +88,9 @@ brief AS (SELECT case_id, display_name || ' scores ' || risk_score || '/100 (' |
   CASE recommended_route WHEN 'ESCALATE_TO_SAR' THEN 'Prepare a report for review.' WHEN 'REQUEST_MORE_EVIDENCE' THEN 'Ask for more evidence.' WHEN 'MONITOR_CASE' THEN 'Keep the case under watch.' ELSE 'Close after a second look.' END AS recommended_action,
   coalesce(timeline, 'No events.') AS timeline FROM alerts JOIN accounts USING (account_id) JOIN rsk USING (case_id) LEFT JOIN stext USING (case_id) LEFT JOIN miss USING (case_id) LEFT JOIN tline USING (case_id)),
 prc AS (SELECT 'PRC-' || transaction_id || '-' || case_id AS processing_event_id, transaction_id, case_id, account_id, ts AS processed_at, 'PROCESSED' AS processing_status, tx.k FROM tx JOIN accounts ON account_id = from_account_id JOIN alerts USING (account_id) WHERE tx.k % 5 <> 0),
+ncase AS (SELECT case_id, account_id, false AS opened FROM alerts WHERE k % 2 = 0
+  UNION ALL SELECT DISTINCT 'CASE-AUTO-' || replace(a.account_id, 'ACC-', ''), a.account_id, true FROM tx JOIN accounts a ON a.account_id = from_account_id WHERE a.account_id NOT IN (SELECT account_id FROM alerts WHERE k % 2 = 0)),
+nprc AS (SELECT 'PRC-' || transaction_id || '-' || case_id AS processing_event_id, transaction_id, case_id, account_id, ts AS processed_at, 'PROCESSED' AS processing_status, tx.k, opened FROM tx JOIN ncase ON account_id = from_account_id),
 ctx AS (SELECT DISTINCT case_id, transaction_id, transaction_type, cents, from_account_id, to_account_id FROM alerts JOIN tx ON to_account_id = account_id
   UNION SELECT case_id, transaction_id, transaction_type, cents, from_account_id, to_account_id FROM (SELECT case_id, account_id FROM alerts UNION SELECT case_id, source FROM net) x JOIN tx ON from_account_id = x.account_id)
 """
@@ -114,7 +118,7 @@ _BODY = {
     "case_json_network": """SELECT case_id, '[' || string_agg('{"relationship_type":"' || relationship_type || '","source":"' || source || '","target":"' || target || '","event_count":' || event_count || ',"total_cents":' || total_cents || '}', ',' ORDER BY relationship_type, source, target) || ']' AS payload FROM net GROUP BY 1""",
     "decisions_validate": "SELECT decision_id, CASE WHEN decision = 'AUTO_FILE_SAR' THEN 'unknown decision' WHEN reviewer_name = ' ' THEN 'reviewer is missing' WHEN rationale IS NULL THEN 'rationale is missing' END AS reason FROM decs",
     "decisions_apply": "SELECT decision_id, case_id, decision, reviewer_name, rationale, decided_at FROM vdecs",
-    "decisions_audit": "SELECT 'AUD-' || decision_id AS audit_event_id, case_id, decided_at AS event_ts, 'HUMAN' AS actor_type, reviewer_name AS actor_name, 'REVIEWER_DECISION' AS event_type, decision || ': ' || rationale AS event_detail, decision_id AS object_id FROM vdecs",
+    "decisions_audit": "SELECT 'AUD-' || decision_id AS audit_event_id, case_id, decided_at AS event_ts, 'HUMAN' AS actor_type, reviewer_name AS actor_name, 'REVIEWER_DECISION' AS event_type, decision || ': ' || rationale AS event_detail, 'DECISION' AS object_type, decision_id AS object_id FROM vdecs",
     "decisions_alert_status": """SELECT a.case_id, account_id, CASE WHEN decision = 'REQUEST_MORE_EVIDENCE' THEN 'EVIDENCE_REQUESTED' WHEN decision IS NOT NULL THEN 'REVIEWED' ELSE alert_status END AS alert_status, reviewer_name AS assigned_to
       FROM alerts a LEFT JOIN (SELECT * FROM vdecs QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY decided_at DESC, decision_seq DESC) = 1) d ON d.case_id = a.case_id""",
     "messages_validate": "SELECT message_id, CASE WHEN message_role NOT IN ('USER', 'ASSISTANT') THEN 'unknown role' WHEN case_id NOT IN (SELECT case_id FROM alerts WHERE k % 2 = 0) THEN 'unknown case' END AS reason FROM msgs",
@@ -122,9 +126,13 @@ _BODY = {
     "executions_validate": """SELECT 'EXE-' || conv_id || '-' || turn AS execution_id, CASE WHEN (conv_id + turn) % 7 = 6 THEN 'unknown agent' WHEN (conv_id % (SELECT count(*) FROM supplier)) % 2 <> 0 THEN 'unknown case' END AS reason FROM conversations""",
     "ledger_link_check": "SELECT count(*) AS decisions, count(*) FILTER (decision_seq % 10 <> 0) AS linked, bool_or(decision = 'ESCALATE_TO_SAR') AS any_escalated FROM vdecs",
     "pipe_auto_case": "SELECT DISTINCT 'CASE-AUTO-' || replace(a.account_id, 'ACC-', '') AS case_id, a.account_id, 'OPEN' AS alert_status FROM tx JOIN accounts a ON a.account_id = from_account_id WHERE a.account_id NOT IN (SELECT account_id FROM alerts WHERE k % 2 = 0)",
-    "pipe_processing_events": "SELECT * EXCLUDE (k) FROM prc",
-    "pipe_audit_events": "SELECT 'AUD-' || processing_event_id AS audit_event_id, case_id, processed_at AS event_ts, 'TRANSACTION_PROCESSED' AS event_type, transaction_id AS object_id FROM prc WHERE k % 7 <> 0",
-    "pipe_batch_summary": "SELECT count(DISTINCT transaction_id) AS processed, 'Processed ' || count(DISTINCT transaction_id) || ' new transaction(s).' AS summary FROM prc",
+    "pipe_processing_events": "SELECT * EXCLUDE (k, opened) FROM nprc WHERE opened OR k % 5 <> 0",
+    "pipe_audit_events": "SELECT 'AUD-' || processing_event_id AS audit_event_id, case_id, processed_at AS event_ts, 'TRANSACTION_PROCESSED' AS event_type, transaction_id AS object_id FROM nprc WHERE opened OR k % 5 <> 0 AND k % 7 <> 0",
+    "pipe_batch_summary": "SELECT count(DISTINCT transaction_id) AS processed, 'Processed ' || count(DISTINCT transaction_id) || ' new transaction(s).' AS summary FROM nprc WHERE opened OR k % 5 <> 0",
+    "stream_new_transactions": "SELECT case_id, opened, count(transaction_id) AS events, count(*) FILTER (opened OR k % 5 <> 0 OR k % 7 = 0) AS audited FROM ncase LEFT JOIN nprc USING (case_id, opened) GROUP BY 1, 2",
+    "stream_wage_harvest": "SELECT * EXCLUDE (gap) FROM onw",
+    "join_interval_stream": """SELECT p.transaction_id AS payroll_id, m.transaction_id AS transfer_id FROM alerts a JOIN tx p ON p.from_account_id = a.account_id AND p.transaction_type = 'PAYROLL'
+      LEFT JOIN tx m ON m.from_account_id = p.to_account_id AND m.transaction_type = 'TRANSFER' AND m.ts BETWEEN p.ts AND p.ts + INTERVAL 24 HOUR""",
     "pipe_status": "SELECT processing_event_id, transaction_id, case_id, processing_status, risk_score, risk_band, recommended_route FROM prc LEFT JOIN rsk USING (case_id)",
     "read_triage_queue": "SELECT case_id, account_id, priority, display_name, risk_score, risk_band, evidence_strength, recommended_route FROM alerts JOIN accounts USING (account_id) LEFT JOIN rsk USING (case_id)",
     "read_documents": "SELECT case_id, document_id, document_type, confidence, array_to_string(ind, ', ') AS indicators, uploaded_seq FROM docs",
@@ -138,7 +146,7 @@ _BODY = {
     "merge_upsert_all": "SELECT case_id, CASE WHEN priority = 'HIGH' THEN 'X' ELSE account_id END AS account_id, CASE WHEN priority = 'HIGH' THEN 'Y' ELSE priority END AS priority FROM alerts WHERE k % 2 = 0 OR priority = 'HIGH'",
     "merge_upsert_partial": "SELECT case_id, CASE WHEN priority = 'HIGH' AND k % 2 <> 0 THEN 'X' ELSE account_id END AS account_id, CASE WHEN priority = 'HIGH' THEN 'Y' ELSE priority END AS priority FROM alerts WHERE k % 2 = 0 OR priority = 'HIGH'",
     "sink_delete_where": "SELECT account_id, sector FROM accounts WHERE sector IS DISTINCT FROM 'RETAIL'",
-    "sink_update_where": "SELECT case_id, CASE WHEN priority = 'HIGH' THEN 'REVIEWED' ELSE alert_status END AS alert_status FROM alerts",
+    "sink_update_where": "SELECT case_id, priority, CASE WHEN priority = 'HIGH' THEN 'REVIEWED' ELSE alert_status END AS alert_status FROM alerts",
     "validate_not_null": "SELECT transaction_id, 'to_account_id is missing' AS reason FROM tx WHERE to_account_id IS NULL UNION ALL SELECT transaction_id, 'counterparty_country is missing' FROM tx WHERE counterparty_country IS NULL",
     "validate_unique_key": "SELECT account_id, device_id, ip_address, count(*) AS copies FROM sig GROUP BY 1, 2, 3 HAVING count(*) > 1",
     "flt_equality": "SELECT transaction_id FROM tx WHERE transaction_type = 'CARD'", "flt_in_list": "SELECT account_id, sector FROM accounts WHERE sector IN ('RETAIL', 'FINANCE')",
@@ -154,7 +162,19 @@ _BODY = {
     "join_semi_in_subquery": "SELECT account_id FROM accounts WHERE account_id IN (SELECT from_account_id FROM tx) OR account_id IN (SELECT matched_account_id FROM watch)",
     "join_anti_not_exists": "SELECT account_id FROM accounts a WHERE NOT EXISTS (SELECT 1 FROM tx WHERE from_account_id = a.account_id)",
     "join_coalesced_key": "SELECT transaction_id, country FROM tx JOIN accounts ON account_id = coalesce(to_account_id, from_account_id)",
-    "join_ledger_link": "SELECT decision_id, count(*) AS n FROM decs d JOIN aud a ON a.case_id = d.case_id AND CAST(decided_at AS DATE) < CAST(event_ts AS DATE) WHERE actor_type = 'HUMAN' AND event_type = 'ERROR' GROUP BY 1",
+    "join_ledger_link": "SELECT decision_id, 'AUD-' || decision_id AS audit_event_id FROM vdecs WHERE decision_seq % 10 <> 0 AND decision_seq % 6 <> 0",
+    "join_self_theta_pairs": "SELECT case_id, device_id, ip_address, a.account_id AS source, b.account_id AS target FROM ms a JOIN ms b USING (case_id, device_id, ip_address) WHERE a.account_id < b.account_id",
+    "read_signals": "SELECT case_id, signal_type, detected, points FROM sigs",
+    "ledger_acceptance": """SELECT *, CASE WHEN expected = actual THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+      SELECT case_id AS subject, 'score' AS check_name, CAST(least(100, total + i.points + d.points) AS VARCHAR) AS expected, CAST(risk_score AS VARCHAR) AS actual FROM typ JOIN intel i USING (case_id) JOIN dpt d USING (case_id) JOIN rsk USING (case_id)
+      UNION ALL SELECT case_id, 'band', CASE WHEN s >= 90 THEN 'CRITICAL' WHEN s >= 70 THEN 'HIGH' WHEN s >= 40 THEN 'MEDIUM' ELSE 'LOW' END, risk_band
+        FROM (SELECT case_id, least(100, total + i.points + d.points) AS s, risk_band FROM typ JOIN intel i USING (case_id) JOIN dpt d USING (case_id) JOIN rsk USING (case_id))
+      UNION ALL SELECT case_id, 'signals', CAST(detected_count AS VARCHAR), CAST((r.wage_harvesting > 0)::INT + (r.account_control > 0)::INT + (r.spending_anomaly > 0)::INT + (r.geographic_risk > 0)::INT + (r.sector_risk > 0)::INT AS VARCHAR) FROM typ JOIN rsk r USING (case_id)
+      UNION ALL SELECT a.case_id, 'execution_audits', CAST(count(x.c) AS VARCHAR), CAST(count(x.c) AS VARCHAR) FROM alerts a LEFT JOIN (SELECT 'CASE-' || (conv_id % (SELECT count(*) FROM supplier)) AS c FROM conversations WHERE (conv_id + turn) % 7 < 6) x ON x.c = a.case_id AND a.k % 2 = 0 GROUP BY 1
+      UNION ALL SELECT a.case_id, 'decision_audits', CAST(count(decision_id) AS VARCHAR), CAST(count(decision_id) FILTER (decision_seq % 10 <> 0) AS VARCHAR) FROM alerts a LEFT JOIN vdecs USING (case_id) GROUP BY 1)""",
+    "sink_csv_export": """SELECT case_id, audit_event_id, event_ts, actor_type, actor_name, event_type, CASE WHEN CAST(substr(case_id, 6) AS INT) % 3 = 0 THEN 'again: ' ELSE '' END || 'it said "' || event_detail || '",' || chr(13) || chr(10) || 'then left' AS event_detail FROM aud""",
+    "src_csv_rejects": "SELECT account_id, 'declared_employee_count: abc is no int' AS reason FROM kyc WHERE CAST(substr(account_id, 7) AS INT) % 10 = 3",
+    "validate_rows": "SELECT signal_id, CASE WHEN count(*) OVER w > 1 THEN 'account_id, device_id, ip_address occurs ' || count(*) OVER w || ' times' END AS reason FROM sig WINDOW w AS (PARTITION BY account_id, device_id, ip_address)",
     "agg_count_sum_group": "SELECT transaction_type, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM tx GROUP BY 1", "agg_count_distinct": "SELECT ip_address, count(DISTINCT account_id) AS accounts, count(DISTINCT device_id) AS devices FROM sig GROUP BY 1",
     "agg_conditional_sum": "SELECT from_account_id, CAST(coalesce(sum(cents) FILTER (transaction_type IN ('TRANSFER', 'CARD')), 0) AS BIGINT) AS cents FROM tx GROUP BY 1", "agg_count_if": "SELECT document_type, count(*) FILTER (confidence < 50) AS low FROM docs GROUP BY 1",
     "agg_ratio_safe": "SELECT from_account_id, round(CAST(coalesce(sum(cents) FILTER (transaction_type = 'CARD'), 0) AS DOUBLE) / nullif(sum(cents), 0), 3) AS ratio FROM tx GROUP BY 1",
@@ -172,7 +192,7 @@ _BODY = {
     "fn_string_concat": "SELECT account_id, sector || '/' || country AS place FROM accounts", "fn_string_case": "SELECT message_id, lower(message_role) AS low, upper(session_id) AS up FROM msgs",
     "fn_string_replace": "SELECT decision_id, CASE decision WHEN 'ESCALATE_TO_SAR' THEN 'Escalate To Sar' WHEN 'REQUEST_MORE_EVIDENCE' THEN 'Request More Evidence' WHEN 'MONITOR_CASE' THEN 'Monitor Case' WHEN 'AUTO_FILE_SAR' THEN 'Auto File Sar' ELSE 'Close As False Positive' END AS shown FROM decs",
     "fn_string_split_list": "SELECT document_id, CAST(nullif(len(ind), 0) AS INT) AS n FROM docs", "fn_string_like": "SELECT message_id FROM msgs WHERE message_text ILIKE '%th%'",
-    "fn_ts_format": "SELECT signal_id, strftime(observed_at, '%Y-%m-%d %H:%M') AS shown FROM sig", "fn_ts_add_diff": "SELECT transaction_id, ts + INTERVAL 1 DAY AS until, CAST(date_diff('day', ts, ts + INTERVAL 30 HOUR) AS INT) AS days FROM tx",
+    "fn_ts_format": "SELECT signal_id, strftime(observed_at, '%Y-%m-%d %H:%M') AS shown FROM sig", "fn_ts_add_diff": "SELECT account_id, max(observed_at) + INTERVAL 24 HOUR AS until, CAST(date_diff('day', min(observed_at), max(observed_at)) AS INT) AS days, date_diff('hour', min(observed_at), max(observed_at)) AS hours FROM sig GROUP BY 1",
     "fn_math_round_least": "SELECT transaction_id, round(cents / 700.0::DOUBLE, 2) AS r, least(100000, cents) AS capped FROM tx", "fn_array_size_guard": "SELECT document_id, len(ind) > 0 AS risky FROM docs",
     "fn_array_compact": "SELECT account_id, concat_ws('|', sector, country) AS known FROM accounts", "fn_array_join": "SELECT document_id, array_to_string(ind, ', ') AS text FROM docs",
     "fn_object_build": """SELECT account_id, CASE WHEN sector IS NULL THEN '{"country":"' || country || '"}' ELSE '{"sector":"' || sector || '","country":"' || country || '"}' END AS j FROM accounts""",
@@ -183,13 +203,15 @@ _BODY = {
     "fn_cast": "SELECT transaction_id, CAST(cents AS VARCHAR) AS s, k AS n FROM tx", "apply_defaults": "SELECT transaction_id, coalesce(counterparty_country, 'N0') AS country, coalesce(to_account_id, 'NONE') AS target FROM tx",
     "sort_breakdown": "SELECT from_account_id, 'all_cents' AS factor, CAST(sum(cents) AS BIGINT) AS points FROM tx GROUP BY 1 UNION ALL SELECT from_account_id, 'n', count(*) FROM tx GROUP BY 1",
     "sink_overwrite": "SELECT case_id, priority FROM alerts WHERE k % 3 <> 0", "sink_append": "SELECT account_id, account_type, country FROM accounts", "src_csv_typed": "SELECT * FROM kyc",
-    "src_change_stream": "SELECT event_id, user_id, upper(event_type) AS kind FROM events", "stream_dedupe": "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events",
-    "src_parse_json_cols": "SELECT audit_event_id, CAST(event_metadata ->> '$.k' AS INT) * 2 AS twice FROM aud",
+    "src_change_stream": "SELECT event_id, user_id, upper(event_type) AS kind FROM events", "stream_dedupe": "SELECT DISTINCT event_id, user_id, event_type FROM events WHERE event_id % 5 <> 0",
+    "src_parse_json_cols": """SELECT audit_event_id, CASE WHEN n % 13 <> 0 THEN CAST(event_metadata ->> '$.k' AS INT) * 2 END AS twice, CASE WHEN n % 17 <> 0 THEN event_type END AS name,
+      concat_ws(',', CASE WHEN n % 13 = 0 THEN 'about' END, CASE WHEN n % 17 = 0 THEN 'names' END) AS errors FROM (SELECT *, CAST(substr(audit_event_id, 5) AS BIGINT) AS n FROM aud)""",
 }
 
 _EXE = """FROM (SELECT 'EXE-' || conv_id || '-' || turn AS execution_id, 'CASE-' || (conv_id % (SELECT count(*) FROM supplier)) AS case_id,
   ['risk', 'typology', 'network', 'evidence', 'brief', 'orchestrator', NULL][CAST((conv_id + turn) % 7 + 1 AS INT)] AS agent_name,
-  TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 7 + turn AS INT)) AS executed_at, length(text) AS response_chars FROM conversations)
+  TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id * 7 + turn AS INT)) AS executed_at, 'REQ-' || conv_id AS request_id, 'SES-' || conv_id AS session_id,
+  'turn ' || turn || ' by ' || role AS routing_reason, text AS agent_response, CASE WHEN turn % 3 = 0 THEN '' ELSE 'case_network|documents' END AS source_objects FROM conversations)
   WHERE agent_name IS NOT NULL AND case_id IN (SELECT case_id FROM alerts WHERE k % 2 = 0)"""
 
 
@@ -202,10 +224,10 @@ def _upsert(new: str, key: str, old: str, kept: str) -> str:
 _AGO, _AT = "TIMESTAMP '2023-12-31'", "TIMESTAMP '2024-06-01'"
 _EVENT = {"key": "audit_event_id", "old": f"{_AGO} AS event_ts, 'old' AS event_detail", "kept": f"CASE WHEN c IS NULL THEN event_ts ELSE {_AGO} END AS event_ts"}
 _BODY |= {
-    "messages_apply": "SELECT * FROM msgs WHERE message_role IN ('USER', 'ASSISTANT') AND case_id IN (SELECT case_id FROM alerts)",
+    "messages_apply": "SELECT *, 'RULES' AS model_provider, 'EVIDENCE_TABLES' AS grounding_mode FROM msgs WHERE message_role IN ('USER', 'ASSISTANT') AND case_id IN (SELECT case_id FROM alerts)",
     "executions_apply": f"SELECT *, 'COMPLETED' AS execution_status {_EXE}",
-    "executions_audit": f"""SELECT 'AUD-' || execution_id AS audit_event_id, case_id, executed_at AS event_ts, 'AGENT' AS actor_type, agent_name AS actor_name, 'AGENT_EXECUTION' AS event_type, execution_id AS object_id,
-      '{{"response_chars":' || coalesce(CAST(response_chars AS VARCHAR), 'null') || '}}' AS event_metadata {_EXE}""",
+    "executions_audit": f"""SELECT 'AUD-' || execution_id AS audit_event_id, case_id, executed_at AS event_ts, 'AGENT' AS actor_type, agent_name AS actor_name, 'AGENT_EXECUTION' AS event_type, agent_name || ' answered; see the execution.' AS event_detail, 'AGENT_EXECUTION' AS object_type, execution_id AS object_id,
+      '{{"request_id":"' || request_id || '","session_id":"' || session_id || '","agent_name":"' || agent_name || '","routing_reason":"' || routing_reason || '","source_objects":' || CASE WHEN source_objects = '' THEN '[]' ELSE '["case_network","documents"]' END || ',"execution_status":"COMPLETED"}}' AS event_metadata {_EXE}""",
     "risk_score_snapshot": _upsert(
         f"SELECT 'RSK-' || case_id AS score_id, case_id, risk_score, risk_band, evidence_strength, recommended_route, {_AT} AS calculated_at FROM rsk",
         "score_id", f"'OLD' AS risk_band, {_AGO} AS calculated_at", "calculated_at AS calculated_at",
@@ -254,10 +276,10 @@ _A = {
       LEFT JOIN (SELECT case_id, count(*) AS n, sum(cents) AS s, max(cents) AS m FROM ctx GROUP BY 1) USING (case_id)
       LEFT JOIN (SELECT case_id, string_agg(DISTINCT counterparty_country, ', ' ORDER BY counterparty_country) AS c FROM ctx JOIN (SELECT transaction_id, counterparty_country FROM tx) USING (transaction_id) GROUP BY 1) USING (case_id)
       CROSS JOIN (SELECT unnest(['wage', 'spending', 'geography', 'general']) AS topic)""",
-    "network": """SELECT case_id, 'all' AS topic, coalesce(n, 0) || ' edges: ' || coalesce(kinds, 'none') || '.' AS answer FROM alerts LEFT JOIN (SELECT case_id, sum(e) AS n, string_agg(relationship_type || ' (' || e || ')', ', ' ORDER BY e DESC, relationship_type) AS kinds
+    "network": """SELECT case_id, 'all' AS topic, coalesce(n, 0) || ' edges: ' || coalesce(kinds, 'none') || '. ' || CASE WHEN s2.detected THEN s2.shared_accounts || ' accounts log in from ' || s2.device_id || ' at ' || s2.ip_address || '.' ELSE 'No sign of common control.' END AS answer FROM alerts LEFT JOIN s2 USING (case_id) LEFT JOIN (SELECT case_id, sum(e) AS n, string_agg(relationship_type || ' (' || e || ')', ', ' ORDER BY e DESC, relationship_type) AS kinds
       FROM (SELECT case_id, relationship_type, count(*) AS e FROM net GROUP BY 1, 2) GROUP BY 1) USING (case_id)""",
-    "evidence": """SELECT case_id, topic, CASE topic WHEN 'gap' THEN 'Open: ' || missing_evidence ELSE documents || ' documents, ' || high_hits || ' matches of high risk.' END AS answer
-      FROM brief JOIN (SELECT case_id, documents FROM dpt) USING (case_id) JOIN (SELECT case_id, high_hits FROM intel) USING (case_id) CROSS JOIN (SELECT unnest(['gap', 'review']) AS topic)""",
+    "evidence": """SELECT case_id, topic, CASE topic WHEN 'gap' THEN 'Open: ' || missing_evidence ELSE documents || ' documents (' || reviewed || ' reviewed), ' || matches || ' list matches (' || high_hits || ' of high risk). ' || evidence_summary END AS answer
+      FROM brief JOIN (SELECT case_id, documents, reviewed FROM dpt) USING (case_id) JOIN (SELECT case_id, matches, high_hits FROM intel) USING (case_id) CROSS JOIN (SELECT unnest(['gap', 'review']) AS topic)""",
     "brief": """SELECT case_id, topic, CASE topic WHEN 'action' THEN recommended_action || ' A reviewer decides.' WHEN 'hypothesis' THEN hypothesis ELSE executive_summary END AS answer FROM brief CROSS JOIN (SELECT unnest(['action', 'hypothesis', 'summary']) AS topic)""",
 }
 _READS = {"risk": "risk_summary", "typology": "all_signals", "network": "case_network", "evidence": "documents, watchlist", "brief": "case_brief"}
@@ -275,7 +297,11 @@ _BODY |= {
     "answer_synthesis": f"""SELECT message_id, string_agg(specialist, ', ' ORDER BY place) AS specialists, string_agg(source, ', ' ORDER BY place) AS sources, string_agg(specialist || ': ' || answer, chr(10) ORDER BY place) AS answer
       FROM ({_ASKED}) JOIN ({" UNION ALL ".join(f"SELECT case_id, '{n}' AS specialist, topic, answer FROM ({sql})" for n, sql in _A.items())}) USING (case_id, specialist, topic) GROUP BY 1""",
     "tool_trace": _TRACE,
-    "tool_trace_quality": f"SELECT status, count(*) AS responses, count(*) FILTER (text_parts = 0) AS without_text, count(*) FILTER (tools = '') AS without_tools FROM ({_TRACE}) GROUP BY 1",
+    "tool_trace_quality": f"""SELECT * EXCLUDE (list), CAST(coalesce(len(list), 0) AS INT) AS distinct_tools, coalesce(array_to_string(list, ', '), '') AS tools_used FROM (SELECT status, count(*) AS responses, CAST(sum(text_parts) AS BIGINT) AS text_parts, count(*) FILTER (text_parts = 0) AS without_text, count(*) FILTER (tools = '') AS without_tools,
+      count(*) FILTER (text_parts = 1 AND lower(said) LIKE '%failed%') AS failure_texts, count(*) FILTER (text_parts = 1 AND said LIKE '%92%') AS score_mentions,
+      count(*) FILTER (status = 'completed' AND text_parts = 1 AND lower(said) NOT LIKE '%failed%' AND said LIKE '%92%') AS sound,
+      list_sort(list_distinct(flatten(list(string_split(tools, ', ')) FILTER (tools <> '')))) AS list FROM ({_TRACE}) JOIN (SELECT message_id,
+      message_text || CASE WHEN {_N} % 11 = 0 THEN ' The analysis failed.' ELSE '' END || CASE WHEN {_N} % 4 = 0 THEN ' Score 92 of 100.' ELSE '' END AS said FROM msgs) USING (message_id) GROUP BY 1)""",
     "read_agent_runs": f"SELECT case_id, execution_id, agent_name, executed_at {_EXE}",
 }
 
