@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from casewarden.llm.components import components
 from casewarden.llm.textvec import give_back, mix, pieces, shingle_units, string_buffers, word_hashes
-from casewarden.storage import written
+from casewarden.storage import unused, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 45, 7
@@ -291,19 +291,20 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     one stays; rows without words all stay.
     """
     key = F.xxhash64(F.lit(13), F.col("doc_id").isNull(), "doc_id", "text")
-    keyed = docs.withColumn("_near_key", key)
-    found = near_duplicates(keyed.select(F.col("_near_key").alias("doc_id"), "text"))
+    own, nth_name = unused(docs, "_near_key"), unused(docs, "_near_nth")
+    keyed = docs.withColumn(own, key)
+    found = near_duplicates(keyed.select(F.col(own).alias("doc_id"), "text"))
     found = written(found.groupBy(F.col("doc_id").alias("_near_key")).agg(F.min("group_id").alias("group")), "near_groups")
     grouped = found.join(found.groupBy("group").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "group").select("_near_key", "group")
-    ids = keyed.select("_near_key", "doc_id").join(grouped, "_near_key")
+    ids = keyed.select(F.col(own).alias("_near_key"), "doc_id").join(grouped, "_near_key")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "_near_key")
     stays = ids.groupBy("group").agg(F.min_by("_near_key", place).alias("_near_key"))
     gone = grouped.select("_near_key").join(stays.select("_near_key"), "_near_key", "left_anti")
-    left = keyed.join(gone, "_near_key", "left_anti")
+    left = keyed.join(gone.withColumnRenamed("_near_key", own), own, "left_anti")
     others = [F.xxhash64(*(c for c in docs.columns if c not in ("doc_id", "text")))] if len(docs.columns) > 2 else []
-    nth = F.row_number().over(Window.partitionBy("_near_key").orderBy(*(others or ["_near_key"])))
+    nth = F.row_number().over(Window.partitionBy(own).orderBy(*(others or [own])))
     wordless = ~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))
-    return left.withColumn("_near_nth", nth).where(wordless | (F.col("_near_nth") == 1)).select(*docs.columns)
+    return left.withColumn(nth_name, nth).where(wordless | (F.col(nth_name) == 1)).select(*docs.columns)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

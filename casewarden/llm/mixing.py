@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewarden.storage import written
+from casewarden.storage import unused, written
 
 #: Fixed by the contract: white space; weights repeat over the sources in order.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -133,9 +133,10 @@ def repeat_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     m = mix(docs, seed=seed).where("taken > 0")
     draw = F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id", "text_hash"), F.lit(1 << 30)) / float(1 << 30)
     n = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
-    m = m.groupBy(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash")).agg(F.max(n).alias("_mix_n")).where("_mix_n > 0")
-    same = docs["doc_id"].eqNullSafe(m["_mix_id"]) & (F.xxhash64(docs["text"]) == m["_mix_hash"])
-    return docs.join(m, same).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(*docs.columns)
+    own, text_hash, times, copy = (unused(docs, f"_mix_{c}") for c in ("id", "hash", "n", "copy"))
+    m = m.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash)).agg(F.max(n).alias(times)).where(F.col(times) > 0)
+    same = docs["doc_id"].eqNullSafe(m[own]) & (F.xxhash64(docs["text"]) == m[text_hash])
+    return docs.join(m, same).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,30 @@ def test_pages_without_rows(spark):
     assert html_text.extract(empty).collect() == []
 
 
+CLASH = ["_near_key", "_near_nth", "_mix_id", "_mix_hash", "_mix_n", "_mix_copy", "_bad_id", "_bad_hash", "id", "label"]
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf):
+    """Nulls, empty and repeated rows, columns that clash with the stages' own, and no rows at all."""
+    import corpus_pipeline
+
+    told = "stone river cloud garden winter summer " * 3
+    rows = [(None, None, None, None), (1, "", "en", "a"), (2, f"{told} one", "en", "a"), (3, f"{told} one", "en", None), (3, f"{told} one", "en", None), (4, "short text", None, "b"), (None, f"{told} two", "de", "b"), (5, "w " * 30_000, "en", "a")]
+    table = spark.createDataFrame(rows, DOC)
+    for i, name in enumerate(CLASH):
+        table = table.withColumn(name, F.concat(F.lit(f"{i}:"), F.coalesce("text", F.lit("null"))))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, sf)
+        if name != "token_shards":
+            assert out.columns == table.columns, name
+            assert out.where(" OR ".join(f"`{c}` <> concat('{i}:', coalesce(text, 'null'))" for i, c in enumerate(CLASH))).count() == 0, name
+            ids = {r["doc_id"] for r in out.collect()}
+            assert ids <= {None, 1, 2, 3, 4, 5}
+        else:
+            assert out.count() == len(rows)
+        assert stage(spark, table.limit(0), sf).count() == 0, name
+
+
 def labelled(spark, n=1500, copies=0):
     rng = random.Random(1)
     rows = []
