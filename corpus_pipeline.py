@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents.
+
+Defined results: an empty table goes through all stages as one. Rows with null or repeated ids are
+judged by id and text, and stay if nothing speaks against their text: the classifier keeps them as
+it keeps others; of rows equal in id and text one passes near-dedup, rows without words all do; a null
+text is clean for decontamination, has no words to mix and so is left out by the mix; every row that is
+left has ids in the shards, the end id at least. Very long texts are read whole by all stages. Extra
+columns are carried along, also under names that the stages use for their own.
 """
 
 from __future__ import annotations
