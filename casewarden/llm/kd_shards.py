@@ -19,7 +19,7 @@ count by their bytes. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewarden.storage import written
@@ -58,7 +58,6 @@ def _ranks(base: DataFrame, column: str) -> DataFrame:
 
 def kd_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """docs (doc_id, text, lang, source) -> doc_id, size, text_crc32, shard, slot."""
-    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text).cast("long") + ROW_BYTES
     rows = written(
@@ -99,27 +98,34 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFram
     leaves: dict[int, int] = {}
     while open_nodes := {n: x for n, x in nodes.items() if x[1] > 1}:
         leaves |= {n: x[0] for n, x in nodes.items() if x[1] == 1}
-        cuts = _cut_level(spark, placed, open_nodes, spans)
+        cuts = _cut_level(placed, open_nodes, spans)
         nodes = {}
         for n, (first, k) in open_nodes.items():
             nodes |= {2 * n: (first, k // 2), 2 * n + 1: (first + k // 2, k - k // 2)}
-        table = _values(spark, "node, dim, cut", [(n, d, c) for n, (d, c) in cuts.items()] or [(0, 0, 0)])
-        placed = placed.join(F.broadcast(table), "node", "left")
-        value = F.when(F.col("dim") == 0, F.col("c0")).when(F.col("dim") == 1, F.col("c1")).otherwise(F.col("c2"))
-        child = F.when(F.col("dim").isNull(), F.col("node")).otherwise(F.col("node") * 2 + (value >= F.col("cut")).cast("int"))
-        placed = placed.withColumn("node", child).drop("dim", "cut")
+        dim, cut = _of_node({n: d for n, (d, _) in cuts.items()}), _of_node({n: c for n, (_, c) in cuts.items()})
+        child = F.when(dim.isNull(), F.col("node")).otherwise(F.col("node") * 2 + (_along(dim) >= cut).cast("int"))
+        # Written, so that no later plan holds the levels before it.
+        placed = written(placed.withColumn("node", child), "kd_placed")
     leaves |= {n: x[0] for n, x in nodes.items()}
-    names = _values(spark, "node, shard", [(n, s) for n, s in leaves.items()])
-    out = placed.join(F.broadcast(names), "node").select("doc_id", "size", "text_crc32", "tie", F.col("shard").cast("int").alias("shard"))
+    out = placed.select("doc_id", "size", "text_crc32", "tie", _of_node(leaves).cast("int").alias("shard"))
     return with_slots(out)
 
 
-def _values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
-    body = ", ".join("(" + ", ".join(f"{v}L" if i else f"{v}" for i, v in enumerate(r)) + ")" for r in rows)
-    return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
+def _of_node(values: dict[int, int | float]) -> Column:
+    """The value of a row's node, null where it has none: looked up in a list from the first node to the last."""
+    if not values:
+        return F.lit(None).cast("long")
+    first = min(values)
+    kind = "D" if isinstance(values[first], float) else "L"
+    listed = ", ".join(f"{values[n]!r}{kind}" if n in values else "NULL" for n in range(first, max(values) + 1))
+    return F.expr(f"CASE WHEN node >= {first} THEN get(array({listed}), node - {first}) END")
 
 
-def _cut_level(spark: SparkSession, placed: DataFrame, open_nodes: dict[int, tuple[int, int]], spans: list[int]) -> dict[int, tuple[int, int]]:
+def _along(dim: Column) -> Column:
+    return F.when(dim == 0, F.col("c0")).when(dim == 1, F.col("c1")).otherwise(F.col("c2"))
+
+
+def _cut_level(placed: DataFrame, open_nodes: dict[int, tuple[int, int]], spans: list[int]) -> dict[int, tuple[int, int]]:
     """Widest dimension and cut (first order value of the right side) of each open node."""
     inside = placed.where(F.col("node").isin(*open_nodes))
     stats = inside.groupBy("node").agg(
@@ -135,27 +141,23 @@ def _cut_level(spark: SparkSession, placed: DataFrame, open_nodes: dict[int, tup
         }
     done: dict[int, tuple[int, int]] = {}
     while state:
-        rows = [(n, s["dim"], s["lo"], s["hi"], max(1, -(-(s["hi"] - s["lo"]) // BINS))) for n, s in state.items()]
-        table = F.broadcast(_values(spark, "node, dim, lo, hi, width", rows))
-        j = inside.join(table, "node")
-        value = F.when(F.col("dim") == 0, F.col("c0")).when(F.col("dim") == 1, F.col("c1")).otherwise(F.col("c2"))
-        j = j.withColumn("value", value).where("value >= lo AND value < hi")
-        h = j.groupBy("node", "lo", "width", F.expr("(value - lo) div width").alias("bin")).agg(F.sum("size").alias("bytes"))
-        h = h.withColumn("upto", F.sum("bytes").over(Window.partitionBy("node").orderBy("bin")))
-        goals = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({n}, {s['goal']!r}D)" for n, s in state.items()) + " AS g(node, goal)"))
-        h = h.join(goals, "node").where("upto >= goal")
+        for s in state.values():
+            s["width"] = max(1, -(-(s["hi"] - s["lo"]) // BINS))
+        dim, lo, hi, width, goal = (_of_node({n: s[key] for n, s in state.items()}) for key in ("dim", "lo", "hi", "width", "goal"))
+        j = placed.where(F.col("node").isin(*state)).select("node", "size", _along(dim).alias("value"), lo.alias("lo"), hi.alias("hi"), width.alias("width"))
+        h = j.where("value >= lo AND value < hi").groupBy("node", F.expr("(value - lo) div width").alias("bin")).agg(F.sum("size").alias("bytes"))
+        h = h.withColumn("upto", F.sum("bytes").over(Window.partitionBy("node").orderBy("bin"))).where(F.col("upto") >= goal)
         at = h.groupBy("node").agg(F.min_by(F.struct("bin", "bytes", "upto"), "bin").alias("b")).collect()
         for r in at:
             n, s, b = r["node"], state[r["node"]], r["b"]
-            width = max(1, -(-(s["hi"] - s["lo"]) // BINS))
-            lo = s["lo"] + b["bin"] * width
-            if b["bytes"] <= s["fine"] or width == 1:
+            start = s["lo"] + b["bin"] * s["width"]
+            if b["bytes"] <= s["fine"] or s["width"] == 1:
                 left = b["upto"] - s["goal"] <= s["goal"] - (b["upto"] - b["bytes"])
-                done[n] = (s["dim"], lo + width if left else lo)
+                done[n] = (s["dim"], start + s["width"] if left else start)
                 del state[n]
             else:
                 s["goal"] -= b["upto"] - b["bytes"]
-                s["lo"], s["hi"] = lo, lo + width
+                s["lo"], s["hi"] = start, start + s["width"]
         for n in [n for n in state if n not in {r["node"] for r in at}]:
             done[n] = (state[n]["dim"], state[n]["hi"])
             del state[n]

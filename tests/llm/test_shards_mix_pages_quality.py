@@ -222,3 +222,17 @@ def test_curvature_bounds_the_loss():
         w = asked.at + rng.normal(0, 1, 7)
         bound = asked.slope @ (w - asked.at) + 0.5 * asked.curve @ (w - asked.at) ** 2
         assert quality.PSEUDO * (loss(w) - loss(asked.at)) <= bound + 1e-9
+
+
+def test_kd_levels_read_written_points(spark, sf, monkeypatch):
+    plans, cut = [], kd_shards._cut_level
+
+    def note(*args):
+        points = next(a for a in args if hasattr(a, "_jdf"))
+        plans.append(points._jdf.queryExecution().optimizedPlan().toString())
+        return cut(*args)
+
+    monkeypatch.setattr(kd_shards, "_cut_level", note)
+    out = kd_shards.kd_shards(spark.read.parquet(f"{sf}/documents.parquet"), 40)
+    assert len(plans) == 6 and not any("Join" in p or p.count("Relation") != 1 for p in plans)
+    assert out.select("shard").distinct().count() == 40
