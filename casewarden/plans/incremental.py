@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from casewarden.operators import ledgers as L
 from casewarden.sources.adapters import adapters
 from casewarden.sources.keyed_table import KeyedTable
-from casewarden.storage import fresh_folder
+from casewarden.storage import fresh_folder, written
 from casewarden.streaming import changes as C
 from casewarden.streaming.pipeline import TransactionPipeline
 
 Tables = dict[str, DataFrame]
+#: Rows of a file that is delivered to a stream; larger tables are more files, not larger ones.
+FILE_ROWS = 500_000
 
 
 def even_alerts(t: Tables) -> DataFrame:
@@ -26,15 +28,20 @@ def _number(column: str) -> str:
     return f"int(substr({column}, 4))"
 
 
-def _delivered(spark: SparkSession, rows: DataFrame, files: int, end: str | None = None) -> str:
-    """``rows`` as files by time; ``end`` appends a wage and a transfer of nobody that long after the last."""
+def _delivered(spark: SparkSession, rows: DataFrame, batches: int = 1, end: str | None = None, times: int = 1) -> tuple[str, int]:
+    """``rows`` as files of about ``FILE_ROWS`` by time, and how many of them make one of so many batches.
+
+    They are delivered so many ``times``; ``end`` appends a wage and a transfer of nobody that long after the last.
+    """
     path = fresh_folder(spark, "delivered")
-    rows.repartitionByRange(files, "ts").write.parquet(path)
+    files = max(1, -(-rows.count() // (batches * FILE_ROWS)))
+    for _ in range(times):
+        rows.repartitionByRange(batches * files, "ts").write.mode("append").parquet(path)
     if end:
         last = rows.agg((F.max("ts") + F.expr(end)).alias("ts")).withColumn("transaction_type", F.explode(F.array(F.lit("PAYROLL"), F.lit("TRANSFER"))))
         last = last.withColumn("from_account_id", F.lit("NOBODY"))
         last.select(*[F.col(c) if c in last.columns else F.lit(None).cast(k).alias(c) for c, k in rows.dtypes]).coalesce(1).write.mode("append").parquet(path)
-    return path
+    return path, files
 
 
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +52,8 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events delivered twice, every fifth known to the ledger before."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "ts")
-    path = fresh_folder(spark, "delivered")
-    for _ in range(2):
-        events.coalesce(1).write.mode("append").parquet(path)
-    twice = C.file_stream(spark, path, events.schema, 1).withColumn("at", F.col("ts").cast("timestamp"))
+    path, files = _delivered(spark, events, times=2)
+    twice = C.file_stream(spark, path, events.schema, files).withColumn("at", F.col("ts").cast("timestamp"))
     once = C.dedupe_stream(twice, ["event_id"], "at", "60 days", events.where("event_id % 5 = 0"))
     return C.capture(once.select("event_id", "user_id", "event_type"), fresh_folder(spark, "dedupe"))
 
@@ -56,7 +61,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _onward(how: str, end: str | None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = adapters(spark, sf_dir)
-        stream = C.file_stream(spark, _delivered(spark, t["transactions"], 4, end), t["transactions"].schema)
+        stream = C.file_stream(spark, _delivered(spark, t["transactions"], end=end)[0], t["transactions"].schema)
         return C.capture(C.onward_stream(t["alerts"], stream, how=how), fresh_folder(spark, "onward"))
 
     return run
@@ -67,26 +72,26 @@ def interval_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _onward("left", "INTERVAL 3 DAYS")(spark, sf_dir).select("payroll_id", "transfer_id")
 
 
-def processed(spark: SparkSession, sf_dir: str, files: int) -> TransactionPipeline:
-    """The pipeline after a run over all transactions, in so many files, each a batch.
+def processed(spark: SparkSession, sf_dir: str, batches: int) -> TransactionPipeline:
+    """The pipeline after a run over all transactions, in so many batches of files.
 
     Before: even employers have cases, every fifth transaction of theirs is in the ledger, and the audit
     holds every seventh.
     """
     t, home = adapters(spark, sf_dir), fresh_folder(spark, "pipeline")
-    accounts, cases, tx = t["accounts"].select("account_id"), even_alerts(t), t["transactions"]
+    accounts, cases = written(t["accounts"].select("account_id"), "accounts"), even_alerts(t)
+    path, files = _delivered(spark, t["transactions"], batches)
+    tx = spark.read.schema(t["transactions"].schema).parquet(path)
     none = spark.createDataFrame([], "transaction_id string")
     ledger = L.processing_events(tx.where(f"{_number('transaction_id')} % 5 = 0"), accounts, cases, none)
     audit = L.pipeline_audit(L.processing_events(tx.where(f"{_number('transaction_id')} % 7 = 0"), accounts, cases, none), spark.createDataFrame([], "audit_event_id string"))
-    stored = fresh_folder(spark, "accounts")
-    accounts.write.parquet(stored)
-    p = TransactionPipeline.create(home, spark.read.schema(accounts.schema).parquet(stored), cases, ledger, audit, buckets=4)
-    p.run(C.file_stream(spark, _delivered(spark, tx, files), tx.schema, 1))
+    p = TransactionPipeline.create(home, accounts, cases, ledger, audit, buckets=4)
+    p.run(C.file_stream(spark, path, tx.schema, files))
     return p
 
 
-def _pipeline(show: Callable[[TransactionPipeline], DataFrame], files: int = 1) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: show(processed(spark, sf_dir, files))
+def _pipeline(show: Callable[[TransactionPipeline], DataFrame], batches: int = 1) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: show(processed(spark, sf_dir, batches))
 
 
 def _new_events(p: TransactionPipeline) -> DataFrame:

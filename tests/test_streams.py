@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewarden.operators import detectors as D
+from casewarden.plans import incremental
+from casewarden.plans.registry import QUERIES
 from casewarden.sources.adapters import adapters
 from casewarden.storage import fresh_folder
 from casewarden.streaming.changes import capture, captured, dedupe_stream, file_stream, onward_stream
@@ -175,3 +177,15 @@ def test_step_that_fails_half_way_is_finished(spark, folders, monkeypatch):
     again.run(file_stream(spark, path, schema))
     assert len(rows(again.read("ledger"))) == 3 and len(rows(again.read("audit"))) == 2
     assert rows(again.read("summary")) == [(0, 2, "Processed 2 new transaction(s).")]
+
+
+def test_deliveries_are_many_files_of_one_batch(spark, sf, monkeypatch):
+    tx = adapters(spark, sf)["transactions"]
+    want, size = tx.count(), 200
+    monkeypatch.setattr(incremental, "FILE_ROWS", size)
+    path, files = incremental._delivered(spark, tx, 2)
+    held = [r["n"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(held) == want and files == -(-want // (2 * size)) and max(held) <= 2 * size
+    p = incremental.processed(spark, sf, 2)
+    assert 1 < p.read("summary").count() <= 2 + (len(held) > 2 * files)
+    assert rows(incremental._by_case(p)) == rows(QUERIES["stream_new_transactions"](spark, sf))
