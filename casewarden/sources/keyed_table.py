@@ -6,8 +6,9 @@ by one rename, so a reader sees the table as it was before a write or after it.
 changed; a write that fails leaves staged files that no version names, and the table as it was. One
 writer at a time: a second one that publishes the same version fails.
 
-An insert adds a folder to the buckets it touches; a merge, update or delete writes the touched buckets
-again, and so does an insert into a bucket of ``MOST`` folders. Untouched buckets are neither read nor
+An insert adds a folder to the buckets it touches: its rows are staged once, and again only if some of
+them are known. A merge, update or delete writes the touched buckets again, and so does an insert into a
+bucket of ``MOST`` folders. Untouched buckets are neither read nor
 written. Keys are unique and not null; a source that breaks this is refused. Only the numbers of the
 touched buckets, and the newest manifest, come to the driver (at most ``MOST`` rows a bucket).
 """
@@ -27,7 +28,7 @@ from casewarden.storage import written
 
 BUCKETS, MOST = 32, 16
 #: Tasks that write a bucket, so that a large one is no single task's work.
-SPREAD = 4
+SPREAD = 16
 _MANIFEST = "bucket int, folder string, about string"
 Folders = dict[int, list[str]]
 
@@ -40,8 +41,7 @@ class KeyedTable:
     def create(cls, df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> KeyedTable:
         """A new table with the rows of ``df``; the path must not hold one."""
         table = cls(df.sparkSession, path.rstrip("/"), df.schema, keys, buckets)
-        df, full = table._source(df)
-        table._publish(-1, table._stage(df, full))
+        table._publish(-1, table._source(df)[1])
         return table
 
     @classmethod
@@ -61,21 +61,23 @@ class KeyedTable:
 
     def merge(self, source: DataFrame, update: list[str] | None = None) -> None:
         """Rows of known keys take the ``update`` columns (default all) of source; new keys are inserted."""
-        source, touched = self._source(source)
-        self._rewrite(touched, lambda old: merge_upsert(old, source, self.keys, update), touched)
+        source, staged = self._source(source)
+        self._rewrite(set(staged), lambda old: merge_upsert(old, source, self.keys, update), set(staged))
 
     def insert_absent(self, source: DataFrame) -> None:
         """Rows of new keys are inserted; known ones stay as they are."""
-        source, named = self._source(source)
+        source, staged = self._source(source)
         version, folders = self._folders()
-        known = self._rows(folders, named).select(*self.keys)
-        new = written(source.join(known, self.keys, "left_anti").select(*self.schema.names), "inserted")
-        touched = self._numbers(new)
-        if touched:
-            crowded = {b for b in touched if len(folders.get(b, ())) >= MOST}
-            staged = self._stage(new.unionByName(self._rows(folders, crowded)), touched)
-            kept = {b: f for b, f in folders.items() if b not in crowded}
-            self._publish(version, {b: [*kept.get(b, ()), *staged.get(b, ())] for b in {*kept, *staged}})
+        if any(b in folders for b in staged):
+            known = self._rows(folders, staged).select(*self.keys)
+            crowded = {b for b in staged if len(folders.get(b, ())) >= MOST}
+            if crowded or self._hashes(source).join(self._hashes(known), "hash", "left_semi").count():
+                new = written(source.join(known, self.keys, "left_anti").select(*self.schema.names), "inserted")
+                touched = self._numbers(new)
+                staged = self._stage(new.unionByName(self._rows(folders, crowded & touched)), touched) if touched else {}
+                folders = {b: f for b, f in folders.items() if b not in crowded & touched}
+        if staged:
+            self._publish(version, {b: [*folders.get(b, ()), *staged.get(b, ())] for b in {*folders, *staged}})
 
     def delete_where(self, condition: Column) -> None:
         self._rewrite(self._numbers(self.read().where(condition)), lambda rows: delete_where(rows, condition))
@@ -86,8 +88,11 @@ class KeyedTable:
             raise ValueError("keys cannot be updated")
         self._rewrite(self._numbers(self.read().where(condition)), lambda rows: update_where(rows, condition, values))
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+    def _bucket(self, key: Column | None = None) -> Column:
+        return F.pmod(F.xxhash64(*self.keys) if key is None else key, F.lit(self.buckets)).cast("int")
+
+    def _hashes(self, rows: DataFrame, *more: Column) -> DataFrame:
+        return rows.select(F.xxhash64(*self.keys).alias("hash"), *more)
 
     def _numbers(self, rows: DataFrame) -> set[int]:
         return {r[0] for r in rows.select(self._bucket()).distinct().collect()}
@@ -106,17 +111,21 @@ class KeyedTable:
         paths = [f"{self.path}/{f}" for b in (folders if buckets is None else buckets) for f in folders.get(b, ())]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def _source(self, source: DataFrame) -> tuple[DataFrame, set[int]]:
-        """``source`` written once, after a check of its keys, and the buckets they are in."""
-        source = written(source.select(*self.schema.names), "source")
+    def _source(self, source: DataFrame) -> tuple[DataFrame, Folders]:
+        """``source`` staged once, after a check of its keys: its rows, and the folders of the buckets they are in."""
+        folder = self._write(source)
+        source = self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}").select(*self.schema.names)
         missing = F.exists(F.array(*[F.col(k).isNull() for k in self.keys]), lambda x: x)
-        counts = source.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"))
-        most, null, buckets = counts.agg(F.max("n"), F.bool_or(missing), F.collect_set(self._bucket())).first()
+        # Keys of different hashes differ; only if a hash occurs twice are keys compared in full.
+        counts = self._hashes(source, missing.alias("null")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.bool_or("null").alias("null"))
+        most, null, buckets = counts.agg(F.max("n"), F.bool_or("null"), F.collect_set(self._bucket(F.col("hash")))).first()
+        if (most or 0) > 1 and not null:
+            most = source.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if null:
             raise ValueError(f"a key ({', '.join(self.keys)}) is null")
         if (most or 0) > 1:
             raise ValueError(f"several rows for one key ({', '.join(self.keys)})")
-        return source, set(buckets)
+        return source, {b: [f"{folder}/_bucket={b}"] for b in buckets}
 
     def _rewrite(self, touched: set[int], change: Callable[[DataFrame], DataFrame], full: set[int] | None = None) -> None:
         """``full``: the buckets that will have rows, if known."""
@@ -127,15 +136,19 @@ class KeyedTable:
 
     def _stage(self, rows: DataFrame, full: set[int] | None = None) -> Folders:
         """Write rows by bucket into a new folder: the buckets that have rows (``full``, if known), and where."""
-        folder = f"data/{uuid.uuid4().hex}"
-        rows = rows.select(*self.schema.names).withColumn("_bucket", self._bucket())
-        rows = rows.repartition(F.col("_bucket"), F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(SPREAD)))
-        rows.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        folder = self._write(rows)
         if full is None:
             staged = self.spark.read.schema("_bucket int").parquet(f"{self.path}/{folder}")
             full = {r[0] for r in staged.select("_bucket").distinct().collect()}
         return {b: [f"{folder}/_bucket={b}"] for b in full}
 
+    def _write(self, rows: DataFrame) -> str:
+        folder = f"data/{uuid.uuid4().hex}"
+        rows = rows.select(*self.schema.names).withColumn("_bucket", self._bucket())
+        rows = rows.repartition(F.col("_bucket"), F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(SPREAD)))
+        rows.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        return folder
+
     def _publish(self, version: int, folders: Folders) -> None:
         about = json.dumps({"schema": self.schema.jsonValue(), "keys": self.keys, "buckets": self.buckets})
         rows = [(b, f, about) for b in sorted(folders) for f in folders[b]] or [(-1, None, about)]

@@ -48,7 +48,7 @@ class TransactionPipeline:
 
     def step(self, batch: DataFrame, number: int) -> None:
         """Process one batch; a repeat under the same number changes nothing."""
-        batch = written(batch.dropDuplicates(["transaction_id"]), "batch")
+        batch = written(batch.select("transaction_id", "ts", "from_account_id", "to_account_id").dropDuplicates(["transaction_id"]), "batch")
         if batch.isEmpty():
             return
         cases, ledger = self.tables["cases"], self.tables["ledger"]

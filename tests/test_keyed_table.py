@@ -89,3 +89,12 @@ def test_second_writer_of_a_version_fails(spark, table):
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         table._publish(*folders)
     assert (3, "x", 1) in rows(table.read())
+
+
+def test_new_rows_are_staged_once(spark, table, monkeypatch):
+    writes, write = [], table._write
+    monkeypatch.setattr(table, "_write", lambda rows: writes.append(1) or write(rows))
+    table.insert_absent(spark.createDataFrame([(i, "more", 1) for i in range(100, 160)], SCHEMA))
+    assert len(writes) == 1 and len(rows(table.read())) == 120
+    table.insert_absent(spark.createDataFrame([(i, "late", 1) for i in range(150, 170)], SCHEMA))
+    assert len(writes) == 3 and len(rows(table.read())) == 130 and (155, "more", 1) in rows(table.read())
