@@ -13,6 +13,11 @@ _AS_IS = {
 }
 #: Stands for quoted empty text while it is read, to tell it from null.
 _EMPTY = "\ue000"
+#: Exports are committed by their tasks (into a staging folder, so an export that fails changes nothing), and have no
+#: ``.crc`` files where the folder is a local one: with them, each small file costs two.
+_COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Tasks for each core that list the folders of an export; Spark's default is one for each folder, up to 10,000.
+LISTING_TASKS = 4
 #: Rows of one case that a file of an export holds at most.
 FILE_ROWS = 1_000_000
 
@@ -41,12 +46,18 @@ def export_csv(df: DataFrame, path: str, by: str, order: list[Column]) -> None:
     own = [c for c in df.columns if c != by]
     dealt = dealt.withColumn("_file", F.pmod(F.xxhash64(*own), F.coalesce("_files", F.lit(1)))).repartition(by, "_file").sortWithinPartitions(by, "_file", *order)
     out = dealt.select(*df.columns).write.mode("overwrite").partitionBy(by).option("partitionOverwriteMode", "dynamic")
-    out.options(**_AS_IS).option("encoding", "UTF-8").csv(path)
+    out.options(**_AS_IS, **_COMMIT).option("encoding", "UTF-8").csv(path)
 
 
 def read_export(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The rows of ``export_csv``, line ends, quotes and spaces inside fields included."""
-    rows = spark.read.schema(schema).options(**_AS_IS).option("multiLine", True).option("emptyValue", _EMPTY).csv(path)
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, LISTING_TASKS * spark.sparkContext.defaultParallelism)
+    try:  # folders are listed here, files read later
+        rows = spark.read.schema(schema).options(**_AS_IS).option("multiLine", True).option("emptyValue", _EMPTY).csv(path)
+    finally:
+        spark.conf.set(setting, usual)
     text = lambda c: F.when(F.col(c) == _EMPTY, "").otherwise(F.col(c)).alias(c)
     return rows.select(*[text(f.name) if isinstance(f.dataType, StringType) else f.name for f in schema.fields])
 

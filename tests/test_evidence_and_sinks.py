@@ -162,3 +162,21 @@ def test_sound_traces(spark):
 def test_transactions_of_one_scan_equal_their_kinds(spark, sf):
     kinds = {r["transaction_type"]: r["n"] for r in adapters(spark, sf)["transactions"].groupBy("transaction_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert set(kinds) == {"PAYROLL", "TRANSFER", "CARD", "CASH_WITHDRAWAL"} and kinds["PAYROLL"] == kinds["TRANSFER"]
+
+
+def test_many_cases_are_listed_by_few_tasks(spark):
+    n = 300
+    df = spark.range(n).select(F.concat(F.lit("C"), "id").alias("case_id"), F.col("id").cast("string").alias("event_detail"))
+    path = fresh_folder(spark, "export")
+    export_csv(df, path, "case_id", [F.col("event_detail")])
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    usual, tracker = spark.conf.get(setting), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        got = read_export(spark, path, df.schema)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing")]
+    tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    assert rows(got) == rows(df) and spark.conf.get(setting) == usual
