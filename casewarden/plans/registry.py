@@ -79,6 +79,21 @@ _ANSWERS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def _asked(t: Tables) -> Tables:
+    """The tables with the cases that questions are about; nobody picks among the answers of others.
+
+    Accounts, transactions and logins stay whole: what is known of a case may lie with any of them.
+    """
+    cases = written(_questions(t).select("case_id").distinct(), "asked")
+    own = {n: t[n].join(cases, "case_id", "left_semi").select(*t[n].columns) for n in ("alerts", "documents", "audit")}
+    return Tables({**t, **own, "alerts": written(own["alerts"], "alerts")})
+
+
+def _synthesis(t: Tables) -> DataFrame:
+    some = _asked(t)
+    return Q.synthesis(_questions(t), {n: written(a(some), f"answer_{n}") for n, a in _ANSWERS.items()})
+
+
 def _messages(t: Tables) -> DataFrame:
     return L.checked_messages(t["messages"], t["alerts"]).where("reason IS NULL")
 
@@ -214,7 +229,7 @@ _BUILD |= {
     "route_questions": lambda t: Q.routed(_questions(t)).select("message_id", "case_id", F.array_join("routes", ", ").alias("routes")),
     **{f"route_{n}_topic": lambda t, n=n: Q.topics(_questions(t), n) for n in Q.TOPICS},
     **{f"answer_{n}": a for n, a in _ANSWERS.items()},
-    "answer_synthesis": lambda t: Q.synthesis(_questions(t), {n: written(a(t), f"answer_{n}") for n, a in _ANSWERS.items()}),
+    "answer_synthesis": _synthesis,
     "tool_trace": lambda t: Q.tool_trace(_responses(t)),
     "tool_trace_quality": lambda t: Q.trace_quality(_responses(t), expected=2),
     "read_agent_runs": lambda t: R.newest(Z.execution_rows(_executions(t)).select("case_id", "execution_id", "agent_name", "executed_at"), ["executed_at", "execution_id"]),

@@ -9,6 +9,7 @@ from casewarden.operators import evidence as E
 from casewarden.operators import ledgers as L
 from casewarden.operators import network as N
 from casewarden.operators import routing as Q
+from casewarden.plans import registry
 from casewarden.plans.registry import QUERIES
 from casewarden.sources import adapters as adapters_module
 from casewarden.sources.adapters import Tables, adapters
@@ -180,3 +181,21 @@ def test_many_cases_are_listed_by_few_tasks(spark):
     tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
     assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
     assert rows(got) == rows(df) and spark.conf.get(setting) == usual
+
+
+def test_only_cases_that_are_asked_about_are_answered(spark, monkeypatch):
+    t, answered = scenario(spark), {}
+    t["messages"] = spark.createDataFrame([("M1", "C1", "USER", "x" * i) for i in range(8)] + [("M9", "C2", "ASSISTANT", "x")], "message_id string, case_id string, message_role string, message_text string")
+    t["messages"] = t["messages"].withColumn("message_id", F.concat("message_id", F.length("message_text")))
+    t["audit"] = t["transactions"].select(F.col("transaction_id").alias("audit_event_id"), F.lit("C1").alias("case_id"), F.col("ts").alias("event_ts"), F.col("transaction_type").alias("event_type"))
+    want = rows(Q.synthesis(registry._questions(t), {n: a(t) for n, a in registry._ANSWERS.items()}))
+    write = registry.written
+
+    def note(df, name):
+        answered[name] = write(df, name)
+        return answered[name]
+
+    monkeypatch.setattr(registry, "written", note)
+    assert rows(registry.BUILD["answer_synthesis"](t)) == want and len(want) == 8
+    cases = {name: {r["case_id"] for r in df.collect()} for name, df in answered.items() if name.startswith("answer_")}
+    assert len(cases) == 5 and set(map(frozenset, cases.values())) == {frozenset({"C1"})}
