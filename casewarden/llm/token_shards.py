@@ -5,10 +5,11 @@ Texts are range-partitioned and sorted by document id, encoded, cut into shards
 own writer stores the images, one row each, under the shared folder, so a task that is lost or
 run twice leaves nothing behind and any store that Spark can write to will do.
 
-Encoding splits texts where the tokenizer itself always splits: at single spaces between non-space
-characters, around a single line end between such, and between a letter or digit and a mark like a
-comma. A worker encodes a distinct piece once and remembers it from task to task as long as pieces
-are seen again; texts keep all their ids.
+Encoding cuts texts where the tokenizer itself always cuts: before white space, after white space
+that is no space, before the last of a run, and where letters, digits and marks meet (not behind an
+apostrophe, nor beside a character above U+FFFF). What a character is says the tokenizer's own engine
+of expressions. A worker encodes a distinct piece once and remembers it from task to task as long as
+pieces are seen again; texts keep all their ids.
 
 Defined results: null text is empty and has the end id only; null ids sort first; repeated rows
 stay, ordered by id, then text; an empty table has no shards. Other columns are ignored.
@@ -16,20 +17,19 @@ stay, ordered by id, then text; an empty table has no shards. Other columns are
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewarden.llm.textvec import give_back, pieces
+from casewarden.llm.textvec import give_back, pieces, string_buffers
 from casewarden.llm.wavelet import NULL_ID, WaveletMatrix
 from casewarden.storage import written
 
@@ -39,13 +39,35 @@ SHARD_TOKENS = 1 << 20
 MEMORY_PIECES = 400_000
 #: Bytes of text that are split and looked up together.
 BATCH_BYTES = 1 << 22
-#: All white space that the tokenizer knows, as a class of the regular expressions of Arrow.
-_WHITE = r"\s\x0b\x{85}\p{Z}"
-_WHITE_BUT_SPACE = r"\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-#: Where a space may not split: next to other white space, or at an end.
-_UNSAFE = re.compile(r"(?:\s |\A | (?=\s)| \Z)")
-#: Pieces that are no line of their own: empty, white at the start (but for one space) or inside.
-_NO_LINE = rf"\A\z|\A[{_WHITE}][{_WHITE}]|\A[{_WHITE_BUT_SPACE}]|[^{_WHITE}][{_WHITE}]|\A \z"
+#: Classes of characters; what is unknown is never cut from its neighbours but for white space.
+UNKNOWN, LETTER, DIGIT, MARK, APOSTROPHE, SPACE, WHITE = range(7)
+CUT, RUN = 1, 2
+
+
+def _rules() -> np.ndarray:
+    """For class * 8 + class of the next character: is there a cut between, or do both lie in one run of white space."""
+    rules = np.zeros((8, 8), np.uint8)
+    rules[:SPACE, SPACE:] = CUT
+    rules[WHITE, :SPACE] = CUT
+    known = [LETTER, DIGIT, MARK]
+    rules[np.ix_(known, known)] = CUT
+    rules[known, known] = 0
+    rules[[LETTER, DIGIT], APOSTROPHE] = CUT
+    rules[SPACE:, SPACE:] = RUN
+    return rules.ravel()
+
+
+def _byte_chars() -> np.ndarray:
+    """The character that stands for each byte in the vocabulary; 0xFF, which no text has, is a space."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = np.zeros(256, "<u2")
+    chars[own] = own
+    chars[chars == 0] = 256 + np.arange(256 - len(own))
+    chars[0xFF] = ord(" ")
+    return chars
+
+
+_RULES, _BYTE_CHARS = _rules(), _byte_chars()
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -59,11 +81,32 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.known: dict[str, int] = {}
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        how = parts["pre_tokenizer"] or {}
+        if how.get("type") != "ByteLevel" or how.get("add_prefix_space") or not how.get("use_regex", True) or parts["normalizer"] or parts["post_processor"]:
+            raise ValueError(f"{path}: only byte-level splitting by the usual expression is known")
+        self.added = [x["content"].encode() for x in parts["added_tokens"]]
+        # Pieces that the tokenizer does not split go to its model at once, without the expression.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = parts["model"]["vocab"]
+        if not all(chr(c) in vocabulary for c in _BYTE_CHARS[:0xFF]):
+            raise ValueError(f"{path}: a byte has no id")
+        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.id_bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        chars = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x10000))))
+        point = np.array([*range(0xD800), *range(0xE000, 0x10000)])
+        self.classes = np.full(1 << 16, MARK, np.uint8)
+        for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT), (r"\s+", WHITE)):
+            for _, (first, last) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(chars):
+                self.classes[point[first:last]] = kind
+        self.classes[ord("'")], self.classes[ord(" ")] = APOSTROPHE, SPACE
+        self.byte_classes = np.where(np.arange(256) < 128, self.classes[:256], UNKNOWN).astype(np.uint8)
+        self.known: dict[bytes, int] = {}
         self.pool, self.ends, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _forget(self) -> None:
@@ -75,86 +118,99 @@ class PieceEncoder:
         each = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(keep))
         self.pool, self.ends, self.seen = each.flatten().to_numpy(), np.asarray(each.offsets).astype(np.int64), self.seen[keep] // 2
 
-    def _learn(self, missing: list[str]) -> None:
-        """Encode distinct words that are not known yet; their ids join the pool."""
-        # Pieces without inner white space are encoded 200 at a time, a line each: a line end
-        # before a piece is an id of its own.
-        alone = pc.match_substring_regex(pa.array(missing, pa.large_string()), _NO_LINE).to_pylist()
-        plain: list[str | None] = [w for w, x in zip(missing, alone) if not x]
-        other = [w for w, x in zip(missing, alone) if x]
+    def _learn(self, plain: list[bytes], other: list[bytes]) -> None:
+        """Encode distinct pieces that are not known yet; their ids join the pool. Plain ones are never split."""
         ids, sizes = [self.pool], []
-        starts = range(0, len(plain), 200)
-        coded = self.tokenizer.encode_batch_fast(["\n" + "\n".join(plain[at : at + 200]) for at in starts], add_special_tokens=False)
-        for at, line in zip(starts, coded, strict=True):
-            part = plain[at : at + 200]
-            own = np.array(line.ids, np.uint32)
-            lines = np.flatnonzero(own == self.line_end)
-            if len(lines) != len(part):  # a piece that is no line of its own
-                other += part
-                plain[at : at + 200] = [None] * len(part)
-                continue
-            ids.append(np.delete(own, lines))
-            sizes.append(np.diff(np.concatenate([lines, [len(own)]])) - 1)
+        groups = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+        lines = [_BYTE_CHARS[np.frombuffer(b"\xff".join(g), np.uint8)].tobytes().decode("utf-16-le") for g in groups]
+        if plain:
+            coded = self.words.encode_batch_fast(lines, add_special_tokens=False)
+            own = np.concatenate([np.array(line.ids, np.uint32) for line in coded])
+            # Ids stand for bytes: those of a piece end where its bytes do.
+            ends = np.searchsorted(np.cumsum(self.id_bytes[own]), np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))) + 1
+            ids.append(own)
+            sizes.append(np.diff(ends, prepend=0))
         if other:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in other], add_special_tokens=False)]
             ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
             sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
-        learned = [w for w in plain if w is not None] + other
         first = len(self.ends) - 1
-        self.known.update(zip(learned, range(first, first + len(learned)), strict=True))
+        self.known.update(zip(chain(plain, other), range(first, first + len(plain) + len(other))))
         self.pool = np.concatenate(ids)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
-        self.seen = np.concatenate([self.seen, np.zeros(len(learned), np.uint32)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(plain) + len(other), np.uint32)])
 
-    def _places(self, keys: list[str]) -> np.ndarray:
-        """The numbers of pieces, which are learned if need be."""
+    def _places(self, keys: list[bytes], whole: np.ndarray) -> np.ndarray:
+        """The numbers of distinct pieces, which are learned if need be; ``whole`` ones by the whole tokenizer."""
         if len(self.known) > MEMORY_PIECES:
             self._forget()
         at = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            self._learn(list(dict.fromkeys(keys[i] for i in new)))
-            at[new] = [self.known[keys[i]] for i in new]
+        new = at < 0
+        plain, other = np.flatnonzero(new & ~whole), np.flatnonzero(new & whole)
+        if len(plain) or len(other):
+            first = len(self.ends) - 1
+            self._learn([keys[i] for i in plain.tolist()], [keys[i] for i in other.tolist()])
+            at[plain] = first + np.arange(len(plain))
+            at[other] = first + len(plain) + np.arange(len(other))
         return at
 
+    def _classes(self, data: np.ndarray) -> np.ndarray:
+        """The class of each byte's character."""
+        kinds = self.byte_classes[data]
+        lead = np.flatnonzero(data >= 0xC2)
+        size = data[lead]
+        two, three = lead[size < 0xE0], lead[(size >= 0xE0) & (size < 0xF0)]
+        low = [(data[three + i] & 0x3F).astype(np.int32) for i in (1, 2)]
+        kinds[two] = kinds[two + 1] = self.classes[(data[two] & 0x1F).astype(np.int32) << 6 | data[two + 1] & 0x3F]
+        kinds[three] = kinds[three + 1] = kinds[three + 2] = self.classes[(data[three] & 0xF).astype(np.int32) << 12 | low[0] << 6 | low[1]]
+        for token in self.added:  # it is found before any split, and so ends the white space before it
+            raw = data.tobytes()
+            at = raw.find(token)
+            while at >= 0:
+                first = at
+                while first and kinds[first - 1] >= SPACE:
+                    first -= 1
+                kinds[first : at + len(token)] = UNKNOWN
+                at = raw.find(token, at + 1)
+        return kinds
+
+    @staticmethod
+    def _pieces(data: np.ndarray, kinds: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where pieces begin; ``edges`` are the n + 1 offsets of the texts."""
+        n = len(data)
+        cut = np.zeros(n + 1, bool)
+        rule = _RULES[kinds[:-1] << 3 | kinds[1:]]
+        cut[1:n] = rule == CUT
+        # The last character of a run of white space before others in the same text begins a piece.
+        starts = np.zeros(n + 1, bool)
+        starts[edges] = True
+        last = np.flatnonzero(rule == RUN) + 1
+        last = last[~starts[last + 1]]
+        last = last[kinds[last + 1] < SPACE]
+        for _ in range(2):
+            last = last - ((data[last] & 0xC0) == 0x80)
+        cut[last] = True
+        return np.flatnonzero((cut | starts)[:n])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the n + 1 offsets of the texts' ids."""
-        texts = texts.fill_null("").cast(pa.large_string())
-        # A space that may not split is hidden behind a character that no text of the batch uses, odd or not;
-        # another one stands before a piece that has no space before it.
-        unused = (c for c in map(chr, range(0xE000, 0x10FFFF)) if not pc.any(pc.match_substring(texts, c)).as_py())
-        mark, joined = next(unused), next(unused)
-        odd = pc.match_substring_regex(texts, rf"([{_WHITE}] |\A | [{_WHITE}]| \z)")
-        plain = texts
-        if pc.any(odd).as_py():
-            hidden = [_UNSAFE.sub(lambda m: m[0].replace(" ", mark), self._settled(t, mark)) for t in texts.filter(odd).to_pylist()]
-            plain = pc.replace_with_mask(texts, odd, pa.array(hidden, pa.large_string()))
-        # A line end that follows no white space begins a piece, and ends it if no white space follows.
-        plain = pc.replace_substring_regex(plain, rf"([^{_WHITE}{mark}])\n", rf"\1 {joined}" + "\n")
-        plain = pc.replace_substring_regex(plain, rf" {joined}\n([^{_WHITE}{mark}])", f" {joined}\n {joined}\\1")
-        plain = pc.replace_substring_regex(plain, r"([\p{L}\p{N}])([.,;:!?])", rf"\1 {joined}\2")
-        split = pc.split_pattern(plain, " ")
-        per_text = np.diff(np.asarray(split.offsets))
-        coded = split.flatten().dictionary_encode()
-        # The first piece of a text has no space before it; others have, unless marked.
-        code = np.asarray(coded.indices).astype(np.int64)
-        leads = (np.cumsum(per_text) - per_text)[per_text > 0]
-        starts, place = np.unique(code[leads], return_inverse=True)
-        code[leads] = place + len(coded.dictionary)
-        words = pc.replace_substring(coded.dictionary, mark, " ")
-        empty = pa.scalar("", pa.large_string())
-        inner = pc.replace_substring(pc.binary_join_element_wise(empty, words, pa.scalar(" ", pa.large_string())), f" {joined}", "")
-        keys = [*inner.to_numpy(zero_copy_only=False), *words.take(pa.array(starts)).to_numpy(zero_copy_only=False)]
-        at = self._places(keys)
+        data, edges = string_buffers(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(edges), np.int64)
+        kinds = self._classes(data)
+        first = self._pieces(data, kinds, edges)
+        offsets = np.append(first, len(data))
+        cut = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = cut.dictionary_encode()
+        code = np.asarray(coded.indices)
+        whole = np.zeros(len(coded.dictionary), bool)
+        odd = np.flatnonzero((kinds == UNKNOWN) | (kinds == APOSTROPHE))
+        whole[code[np.searchsorted(first, odd, "right") - 1]] = True
+        at = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), whole)
         self.seen[at] += 1
-        each = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(at)).take(pa.array(code))
-        ids, offsets = each.flatten().to_numpy(), np.asarray(each.offsets)
-        return ids, (offsets - offsets[0])[np.concatenate([[0], np.cumsum(per_text)])]
-
-    @staticmethod
-    def _settled(text: str, mark: str) -> str:
-        """Hide every space of a run of white space; the pattern sees one neighbour at a time."""
-        return re.sub(r"\s{2,}", lambda m: m[0].replace(" ", mark), text)
+        each = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(at)).take(coded.indices)
+        ids, ends = each.flatten().to_numpy(), np.asarray(each.offsets)
+        return ids, (ends - ends[0])[np.searchsorted(first, edges)]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -28,6 +28,17 @@ def test_pieces_equal_whole_texts(tokenizer):
             assert ids[ends[i] : ends[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_random_characters_equal_whole_texts(tokenizer):
+    encoder = token_shards.PieceEncoder(token_shards.tokenizer_path())
+    some = [*" \n\t\r\x1c\x85\xa0\u2003\u2028\u3000\u200b", "  ", "\n\n", *"aé漢яªʰ\u0301", *"1²Ⅷ", *".,!-«。€", "'", "'s", "'LL", "😀", "𝒜", "𝟙", "<|endoftext|>", "|>"]
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        texts = ["".join(rng.choice(some, rng.integers(0, 15))) for _ in range(200)]
+        ids, ends = encoder.encode(pa.array(texts, pa.string()))
+        for i, e in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert ids[ends[i] : ends[i + 1]].tolist() == e.ids, repr(texts[i])
+
+
 def test_mark_is_in_no_text_of_the_batch(tokenizer):
     encoder = token_shards.PieceEncoder(token_shards.tokenizer_path())
     texts = ["a  b", "icon\ue000 x\ue000y z\ue000\nq", " c \ue001", "plain\ue002 d"]
@@ -243,3 +254,30 @@ def test_new_pieces_of_a_batch_are_encoded_in_one_call():
     ids, ends = encoder.encode(pa.array(texts))
     assert len(calls) <= 2
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_go_to_the_model_without_the_splitting_expression(tokenizer):
+    encoder, calls = token_shards.PieceEncoder(token_shards.tokenizer_path()), []
+
+    class Watched:
+        def encode_batch_fast(self, *args, **kwargs):
+            calls.append(args)
+            return tokenizer.encode_batch_fast(*args, **kwargs)
+
+    encoder.tokenizer = Watched()
+    texts = [f"(wört{i}) [x{i}y]\n\n漢字{i}  end-of-{i}... " for i in range(300)]
+    ids, ends = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert not calls and len(encoder.known) < 350  # a number is one piece, whatever stands around it
+    encoder.encode(pa.array(["it's 😀"]))
+    assert len(calls) == 1
+
+
+def test_other_splitting_is_refused(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(token_shards.tokenizer_path())
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError):
+        token_shards.PieceEncoder(str(tmp_path / "other.json"))
