@@ -13,14 +13,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round lets every node point its larger neighbours, then its smaller ones, to the
     smallest node it knows of; rounds are written, and end when no link changes. Minima are
-    partially aggregated, so a node with very many links is no single task's work.
+    partially aggregated, so a node with very many links is no single task's work. Links point
+    downwards (a > b), so the smallest that a node knows of is itself if none starts from it. Both
+    halves of a round are written: the stages of a plan start together, and each costs the driver.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "cc")
     state = None
     while True:
-        both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        large = edges.toDF("u", "v").join(least.toDF("v", "m"), "v", "left")
+        large = written(large.select(F.col("u").alias("a"), F.coalesce("m", "v").alias("b")).distinct(), "cc")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         turned = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))

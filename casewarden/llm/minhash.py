@@ -16,7 +16,8 @@ text is compared with the others, then a text drawn by the bucket, and last, in
 still hold texts of several components, each text outside the bucket's most common component
 with the texts of other components. Pairs inside one component need no comparison.
 Estimates from whole signatures (tolerance ``SLACK``, over six standard deviations; two bits a component) only spare
-hopeless verifications; a link needs an exact multiset overlap of 0.8 or more.
+hopeless verifications; a link needs an exact multiset overlap of 0.8 or more. Tables that a step
+reads twice are written first: a plan's stages start together, and each takes memory of the driver.
 
 Defined results: texts with the same words in the same order are one class and are compared
 once; texts without words have no shingles and are alike to none; null ids and ids on several
@@ -186,6 +187,7 @@ def _sharing_rare_units(texts: DataFrame, open_docs: DataFrame, sizes: DataFrame
     first = F.col("n_units") - F.ceil(F.col("n_units") * similarity - 1e-9) + 1
     rows = units.join(common, "unit").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "unit")))
     rows = rows.join(n_units, "doc_id").where((F.col("place") <= first) & (F.col("n") > 1)).select("doc_id", "label", "n_units", "unit", (F.col("n_units") - F.col("place") + 1).alias("left"))
+    rows = written(rows, "prefixes")
     x = rows.select("unit", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_units").alias("ka"), F.col("left").alias("ra"))
     y = rows.select("unit", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_units").alias("kb"), F.col("left").alias("rb"))
     sized = F.least("ka", "kb") >= similarity * F.greatest("ka", "kb") - 1e-9
@@ -247,6 +249,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         x = known_sig.select(F.col("doc_id").alias("a"), F.col("n_units").alias("n_a"), F.col("sig").alias("sig_a"))
         y = known_sig.select(F.col("doc_id").alias("b"), F.col("n_units").alias("n_b"), F.col("sig").alias("sig_b"))
         sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+        pairs = written(pairs, "pairs")
         likely = written(_estimated(pairs.join(x, "a").join(y, "b").where(sized)).distinct(), "likely")
         involved = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
         units = written(_unit_sets(_only(texts, involved), shingle), "units")
@@ -262,7 +265,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         return rows.join(roots, rows["doc_id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "doc_id")).drop("node", "root")
 
     links = check(ordered(shared, "first", "doc_id"))
-    tagged = labelled(shared.join(draws, "bucket"), links)
+    tagged = written(labelled(shared.join(draws, "bucket"), links), "tagged")
     drawn = tagged.select("bucket", F.when(F.col("doc_id") == F.col("drawn"), F.col("label")).alias("l")).groupBy("bucket").agg(F.max("l").alias("drawn_label"))
     second = tagged.where(F.col("drawn") != F.col("first")).join(drawn, "bucket").where("label != drawn_label")
     links = written(links.union(check(ordered(second, "drawn", "doc_id"))), "links")
@@ -296,11 +299,12 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     found = near_duplicates(keyed.select(F.col(own).alias("doc_id"), "text"))
     found = written(found.groupBy(F.col("doc_id").alias("_near_key")).agg(F.min("group_id").alias("group")), "near_groups")
     grouped = found.join(found.groupBy("group").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "group").select("_near_key", "group")
+    grouped = written(grouped, "near_grouped")
     ids = keyed.select(F.col(own).alias("_near_key"), "doc_id").join(grouped, "_near_key")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "_near_key")
     stays = ids.groupBy("group").agg(F.min_by("_near_key", place).alias("_near_key"))
     gone = grouped.select("_near_key").join(stays.select("_near_key"), "_near_key", "left_anti")
-    left = keyed.join(gone.withColumnRenamed("_near_key", own), own, "left_anti")
+    left = keyed.join(written(gone, "near_gone").withColumnRenamed("_near_key", own), own, "left_anti")
     others = [F.xxhash64(*(c for c in docs.columns if c not in ("doc_id", "text")))] if len(docs.columns) > 2 else []
     nth = F.row_number().over(Window.partitionBy(own).orderBy(*(others or [own])))
     wordless = ~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))

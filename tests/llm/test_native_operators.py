@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -191,6 +192,35 @@ def test_near_duplicates_equal_brute_force(spark, sf, odd_docs):
     assert minhash.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_near_dedup_in_small_plans(spark, monkeypatch):
+    """The stages of a plan start together, and each takes the driver's memory: no table it writes needs many exchanges."""
+    from casewarden.llm import components as cc
+
+    exchanges, roots = [], {}
+
+    def written(df, name, write=cc.written):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exchanges.append((plan.count("Exchange hashpartitioning"), name))
+        return write(df, name)
+
+    monkeypatch.setattr(cc, "written", written)
+    monkeypatch.setattr(minhash, "written", written)
+    rng = random.Random(7)
+    links = [(0, k) for k in range(1, 30)] + [(k, k + 1) for k in range(40, 60)] + [tuple(rng.sample(range(100, 160), 2)) for _ in range(40)] + [(70, 70)]
+    for a, b in links:  # plain union of labels
+        x, y = roots.setdefault(a, a), roots.setdefault(b, b)
+        roots = {k: min(x, y) if v in (x, y) else v for k, v in roots.items()}
+    rows = [(k, " ".join(f"w{rng.randrange(6)}" for _ in range(40 + k % 3)) if k % 4 else f"same {'text ' * 9}") for k in range(40)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cc.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert minhash.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string")).where("text LIKE 'same%'").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["node"]: r["root"] for r in got} == {k: v for k, v in roots.items() if k != v}
+    assert max(exchanges)[0] <= 8, sorted(exchanges)[-5:]
+
+
 def test_rows_with_null_or_repeated_ids_are_told_apart(spark):
     text = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
     near = text[2].replace("c7 ", "x ")
